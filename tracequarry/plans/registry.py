@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracequarry.operators import log_lines, schema_drift
+from tracequarry.plans import reference
 from tracequarry.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +29,8 @@ def _training_data() -> dict[str, Query]:
 
 
 def queries() -> dict[str, Query]:
-    return _training_data()
+    return {**_training_data(), **reference.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return reference.oracle_sql()
