@@ -10,8 +10,8 @@ and in bytes) that far more values have than lengths nearby, with hardly any val
 beyond. All values are counted for this.
 
 Training: at most ``SAMPLE`` values per source_format and field, those of least hash of
-their key. Values with a mark at the end or that fill a limit are no intact ones; a
-second round also drops those that the first model takes for cut.
+their key. Values with a mark at the end or that fill a limit are no intact ones; later rounds
+also leave out those that the model before has doubts about.
 
 Defined results
 * null and blank values are complete; so are status words, whole lines and whole JSON;
@@ -36,12 +36,20 @@ FIELDS = ("command_output", "text")
 SAMPLE = 2500
 SLOTS = 1 << 18
 #: Log-odds (at even odds in training) from which a value counts as cut: cut values are rare.
-THRESHOLD = 1.0
+THRESHOLD = 0.75
+#: Rounds of training; after each, values that score as much as this are no longer taken for intact.
+ROUNDS, DOUBT = 3, 1.0
 #: A limit: so many values of exactly this length, so many times the mean of lengths nearby, and at most this share of values longer.
 LIMIT_COUNT, LIMIT_TIMES, LIMIT_BEYOND, LIMIT_LEAST = 4, 8.0, 0.002, 64
 #: Marks that recorders add to a cut value (fixed values).
 MARK = re.compile(r"(?:\n?\.\.\.\s?\[?(?:truncated|output truncated|cut|\d+ (?:more )?(?:chars|characters|bytes)[^\]\n]{0,20})\]?|\[(?:output )?truncated\]|<truncated>|…)\s*\Z", re.I)
+#: Of these, marks that nothing else ends with.
+#: The mark itself may be cut: "...[tru" is a mark too.
+_PART = "|".join("truncated"[:k] for k in range(9, 0, -1))
+SURE_MARK = re.compile(rf"(?:\.\.\.\s?\[(?:output )?(?:{_PART})?\]?|\[(?:output )?truncated\]|<truncated>)\s*\Z", re.I)
 _MARKS = ["...[truncated]", "\n...[truncated]", "…", "... [truncated]", "[truncated]"]
+#: A line break, or the end of a sentence that is no decimal point.
+WHOLE = re.compile(r"\n\Z|[^\W\d_][.!?]\Z|[。！？]\Z")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|_+|\s+|[^\w\s]")
 _TAIL = 240
 
@@ -80,6 +88,21 @@ def whole_json(value: str) -> bool:
     return True
 
 
+class Words(frozenset):
+    """Known words; part() tells whether a text is only the beginning of one."""
+
+    def __new__(cls, words):
+        own = super().__new__(cls, words)
+        own.parts = frozenset(w[:k] for w in own for k in range(1, len(w))) - own
+        return own
+
+    def part(self, text: str) -> bool:
+        return text in self.parts
+
+    def __reduce__(self):
+        return Words, (sorted(self),)
+
+
 def fills_limit(value: str, chars: frozenset[int], bytes_: frozenset[int]) -> bool:
     """Whether the value has just the length of a limit; a limit in bytes may fall within a character."""
     n = len(value)
@@ -94,7 +117,7 @@ def fills_limit(value: str, chars: frozenset[int], bytes_: frozenset[int]) -> bo
     return any(b - 3 <= size <= b for b in near)
 
 
-def strings(value: str, source: str, field: str, chars: frozenset[int], bytes_: frozenset[int], known: frozenset[str] | None) -> list[str]:
+def strings(value: str, source: str, field: str, chars: frozenset[int], bytes_: frozenset[int], known: Words | None) -> list[str]:
     """The features of a value, before hashing."""
     where = f"{source}/{field}"
     n = len(value)
@@ -134,13 +157,16 @@ def strings(value: str, source: str, field: str, chars: frozenset[int], bytes_:
         f"open {open_marks(line)} {kind}",
         f"single {at == 0} {min(len(words), 3)} {kind}",
     ]
+    if len(line) <= 40:
+        out.append(f"line {re.sub('[0-9]+', '0', line)}")
     if len(shape) <= 100:
         out.append(f"shape {shape}")
     pure = last.strip(".,;:!?()[]{}'\"`“”…")
     if pure.isalpha():
         out.append(f"word {pure.lower()}")
         if known is not None:
-            out.append(f"known {pure.lower() in known} {kind} {body[-1].isalpha()}")
+            low = pure.lower()
+            out += [f"known {low in known} {kind} {body[-1].isalpha()}", f"part {known.part(low)} {kind} {body[-1].isalpha()}", f"lone part {known.part(low)} {len(words) == 1}"]
     if line[0].isspace() or at and body[:at].rstrip()[-1:] in "{[(,":
         out.append("inside a structure")
     return out
@@ -153,7 +179,7 @@ def hashed(features: list[str]) -> np.ndarray:
 class Model:
     """Weights by hashed feature; 0 fills up rows of unequal length."""
 
-    def __init__(self, weights: np.ndarray, limits: dict, known: frozenset[str]):
+    def __init__(self, weights: np.ndarray, limits: dict, known: Words):
         self.weights, self.limits, self.known = weights, limits, known
 
     def features(self, value: str, source: str, field: str) -> list[str]:
@@ -165,8 +191,10 @@ class Model:
         return float(sum(w[crc32(f.encode()) % SLOTS] for f in self.features(value, source, field)))
 
     def is_cut(self, score: float, value: str, source: str, field: str) -> bool:
-        """By score, or (exactly) because it fills a limit."""
-        return score >= THRESHOLD or fills_limit(value, *self.limits.get((source, field), (frozenset(), frozenset())))
+        """Exactly, where it fills a limit, ends with a recorder's mark, or with a whole line or sentence; else by score."""
+        if fills_limit(value, *self.limits.get((source, field), (frozenset(), frozenset()))) or SURE_MARK.search(value, max(0, len(value) - 60)):
+            return True
+        return score >= THRESHOLD and not (WHOLE.search(value[-3:]) and not open_marks(value))
 
     def fit(self, rows: list[tuple[list[str], int]], rounds: int = 60, rate: float = 0.3, decay: float = 2e-5) -> None:
         """Full-batch gradient steps with per-weight rates."""
@@ -262,12 +290,13 @@ def train(events: DataFrame, sample: int = SAMPLE) -> Model | None:
     for value, _, _ in rows:
         for w in set(re.findall(r"[^\W\d_]+(?=[\s.,;:!?)])", value)):
             counts[w.lower()] = counts.get(w.lower(), 0) + 1
-    known = frozenset(w for w, n in counts.items() if n >= 2)
+    known = Words(w for w, n in counts.items() if n >= 3)
     model = Model(np.zeros(SLOTS), limits, known)
     intact = [r for r in rows if not MARK.search(r[0]) and "fills" not in model.features(*r)]
-    for _ in range(2):
-        model.fit(_examples(intact or rows, model, np.random.default_rng(7)))
-        intact = [r for r in intact if not model.is_cut(model.score(*r), *r)]
+    taken = intact or rows
+    for _ in range(ROUNDS):
+        model.fit(_examples(taken, model, np.random.default_rng(7)))
+        taken = [r for r in intact if model.score(*r) < DOUBT] or rows
     return model
 
 
