@@ -170,20 +170,39 @@ def index_percentiles(df: DataFrame, keys: Sequence[str], value: str, tenths: di
     return cum.groupBy(*keys).agg(*[at(t).alias(name) for name, t in tenths.items()])
 
 
+#: Items of one or two words have no inner words to hash; more of them than this are refused.
+MAX_SHORT_ITEMS = 1000
+
+
 def containment(documents: DataFrame, items: DataFrame, text: str, item_text: str, words: int = 8) -> DataFrame:
     """Pairs of documents and items whose normalised text the document contains.
 
-    Hashes of the item's first `words` words meet hashes of every word position of a
-    document (an equi-join), and `contains` confirms. Items of fewer words are compared
-    by their own length: one pass a length.
+    An item's inner words (all but the first and last, which may touch other characters
+    in a document) must stand in the document as whole words: hashes of the first `words`
+    of them meet hashes of every word position (an equi-join), and `contains` confirms.
+    Items of one or two words are looked for directly; their number is bounded.
     """
     spaced = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     items = items.withColumn("_item", spaced(F.col(item_text))).where("_item <> ''").withColumn("_w", F.split("_item", " "))
-    items = items.withColumn("_n", F.least(F.size("_w"), F.lit(words))).withColumn("_key", F.xxhash64(F.array_join(F.slice("_w", 1, words), " ")))
-    lengths = [r._n for r in items.select("_n").distinct().orderBy("_n").limit(words).collect()]
     docs = documents.where(F.col(text).isNotNull()).withColumn("_doc", spaced(F.col(text)))
+    keyed = items.where(F.size("_w") > 2).withColumn("_n", F.least(F.size("_w") - 2, F.lit(words)))
+    keyed = keyed.withColumn("_key", F.xxhash64(F.array_join(F.slice("_w", F.lit(2), F.col("_n")), " ")))
+    lengths = [r._n for r in keyed.select("_n").distinct().orderBy("_n").limit(words).collect()]
     split = F.split("_doc", " ")
-    # a document's word may carry more at either end than the item's, so ends are compared by contains alone
-    keys = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.size(split) - n + 1, F.lit(1))), lambda i, n=n: F.xxhash64(F.array_join(F.slice(split, i, F.lit(n)), " "))) for n in lengths]))) if lengths else F.array().cast("array<bigint>")
-    found = docs.withColumn("_key", F.explode(keys)).join(items.drop("_w", "_n"), "_key").where(F.col("_doc").contains(F.col("_item")))
-    return found.drop("_key", "_doc", "_item")
+
+    def at_every_word(n: int) -> Column:
+        last = F.size(split) - n + 1
+        hashes = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(split, i, F.lit(n)), " ")))
+        return F.when(last >= 1, hashes).otherwise(F.array().cast("array<bigint>"))
+
+    keys = F.array_distinct(F.flatten(F.array(*map(at_every_word, lengths)))) if lengths else F.array().cast("array<bigint>")
+    found = docs.withColumn("_key", F.explode(keys)).join(keyed.drop("_w", "_n"), "_key").where(F.col("_doc").contains(F.col("_item"))).drop("_key", "_doc", "_item")
+    short = items.where(F.size("_w") <= 2).drop("_w")
+    few = [r._item for r in short.select("_item").distinct().limit(MAX_SHORT_ITEMS + 1).collect()]
+    if len(few) > MAX_SHORT_ITEMS:
+        raise ValueError(f"more than {MAX_SHORT_ITEMS} items of one or two words")
+    if not few:
+        return found
+    held = F.filter(F.array(*[F.lit(x) for x in sorted(few)]), lambda x: F.col("_doc").contains(x))
+    direct = docs.withColumn("_item", F.explode(held)).drop("_doc").join(short, "_item").drop("_item")
+    return found.unionByName(direct)

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions import labels, metrics, text
 from tracequarry.functions.rules import literal
-from tracequarry.operators import ordered
-from tracequarry.session import table
+from tracequarry.operators import ordered, statistics
+from tracequarry.session import ensure_checkpoint_dir, table
+from tracequarry.sources import lines
+from tracequarry.streaming import queue
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -685,6 +687,63 @@ def truncate_fields(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", text.capped(F.col("text"), 4000, "\n...[truncated]").alias("text"), (F.length("text") > 4000).alias("truncated"))
 
 
+# ---- lines, traces, resampling, streams ---------------------------------------------------------
+_LINES = r"l AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '(\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}])$', ''), '\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]')) AS line FROM documents WHERE text <> '')"
+
+
+def _doc_lines(s, d):
+    return lines.lines(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query(f"""WITH {_LINES}, k AS (SELECT doc_id, line, CASE WHEN NOT regexp_matches(line, '[^\\s]') THEN 'blank' WHEN contains(line, '{{') AND json_valid(trim(substr(line, strpos(line, '{{')), ' ' || chr(9))) THEN 'json' WHEN contains(line, '{{') THEN 'malformed' ELSE 'warning' END AS kind FROM l)
+SELECT doc_id, count(*) AS lines, count_if(kind = 'json') AS json_lines, count_if(kind = 'malformed') AS malformed_json_lines, count_if(kind = 'warning') AS warnings FROM k GROUP BY 1""")
+def line_scan_counters(s, d):
+    return lines.line_counts(lines.records(_doc_lines(s, d), "doc_id"), "doc_id")
+
+
+@query(None)
+def plain_trace_blocks(s, d):
+    """Marker lines of documents taken as a plain trace; tested on fixtures."""
+    return lines.plain_blocks(_doc_lines(s, d), "doc_id").select("doc_id", "block", "kind", "tool_name", "line_start", "line_end")
+
+
+@query(None)
+def cluster_bootstrap(s, d):
+    """Resampled means of event values by user; the draws are our own, so SQL has no equal."""
+    return statistics.cluster_bootstrap(table(s, d, "events"), "value", "user_id")
+
+
+@query(None)
+def python_function_extract(s, d):
+    """Top-level Python functions in written files; parsed, never run."""
+    e = rows(s, d, "agent_event", "trajectory_id", "event_index", "file_path", "file_content").where("file_path like '%.py' and file_content is not null")
+    f = e.select("trajectory_id", "event_index", F.explode(statistics.python_functions("file_content")).alias("f"))
+    return f.select("trajectory_id", "event_index", "f.name", "f.n_lines")
+
+
+def _stream(s, d):
+    return s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
+
+
+def _drained(s, d, stream, name, mode="append"):
+    folder = f"{ensure_checkpoint_dir(s)}/stream-{name}-{abs(hash((d, id(stream))))}"
+    return queue.drained(stream, folder, name, mode)
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def queue_dedup_stream(s, d):
+    """Users as keys of a queue: each is taken once, though it comes again and again."""
+    return _drained(s, d, queue.once_by_key(_stream(s, d).select("user_id"), "user_id"), "queue_dedup_stream")
+
+
+@query("""WITH t AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS o FROM events), i AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM t)
+SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 10 MINUTE AS ended, count(*) AS n_events FROM i GROUP BY user_id, k""")
+def session_windows(s, d):
+    """Sessions by gaps in event time, in batch (the stream's own form is tested on a file stream)."""
+    out = queue.session_counts(table(s, d, "events"))
+    return out.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n_events")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
