@@ -234,8 +234,13 @@ def objective_contexts(s, d):
     e = e.withColumn("source", source).where("source is not null").withColumn("writes", writes)
     mentioned = F.regexp_extract_all(F.lower("source"), F.lit(r"([\w.-]+\.(?:py|sh))"), F.lit(1))
     named = F.array_distinct(F.concat(F.when(F.col("writes"), mentioned).otherwise(F.array().cast("array<string>")), F.array_compact(F.array(_base(F.col("file_path"))))))
-    by_script = e.select("trajectory_id", "event_index", "source", F.explode(named).alias("script"))
-    met = target.join(by_script, ["trajectory_id", "script"]).where("event_index <= launch").select("trajectory_id", "call_index", "event_index", "source").distinct()
+    by_script = e.select("trajectory_id", "event_index", "source", F.explode(named).alias("script")).groupBy("trajectory_id", "script", "event_index").agg(F.max("source").alias("source"))
+    # number the sources of a script; a launch takes the eight up to its latest one: no launch meets all sources
+    keys = ["trajectory_id", "script"]
+    sources = ordered.numbered(by_script, keys, "event_index", "k")
+    latest = ordered.asof_backward(target.withColumnRenamed("launch", "event_index"), sources.select(*keys, "event_index", "k"), keys, "event_index", ["k"]).where("k is not null")
+    wanted = latest.select(*keys, "call_index", F.explode(F.sequence(F.greatest(F.col("k") - 7, F.lit(0)), F.col("k"))).alias("k"))
+    met = wanted.join(sources, [*keys, "k"]).select("trajectory_id", "call_index", "event_index", "source").distinct()
     context = ordered.last_k_text(met, ["trajectory_id", "call_index"], "event_index", "source", 8, 400_000, "context")
     return launches.join(context, ["trajectory_id", "call_index"], "left")
 
@@ -342,8 +347,11 @@ def evidence_direction(s, d):
 SELECT *, CAST(row_number() OVER (PARTITION BY trajectory_id ORDER BY event_index, metric_name, metric_value) - 1 AS BIGINT) AS point_index FROM k""")
 def evaluation_points_keep_first(s, d):
     first = ordered.keep_first(_points(s, d), ["trajectory_id", "metric_name", "metric_value"], ["event_index"])
-    order = Window.partitionBy("trajectory_id").orderBy("event_index", "metric_name", "metric_value")
-    return first.withColumn("point_index", F.row_number().over(order).cast("bigint") - 1)
+    # points of one event are few; events are numbered in blocks by how many points came before
+    one = first.groupBy("trajectory_id", "event_index").agg(F.array_sort(F.collect_list(F.struct("metric_name", "metric_value"))).alias("ps"))
+    upto = ordered.running_sum(one, ["trajectory_id"], "event_index", {"upto": F.size("ps")})
+    each = upto.select("trajectory_id", "event_index", (F.col("upto") - F.size("ps")).alias("before"), F.posexplode("ps").alias("k", "p"))
+    return each.select("trajectory_id", "p.metric_name", "p.metric_value", "event_index", (F.col("before") + F.col("k")).alias("point_index"))
 
 
 @query("""WITH r AS (SELECT DISTINCT log_stream, file_seq, line_no, record::JSON AS j FROM eval_log_raw), k AS (SELECT log_stream, file_seq, line_no, '' AS p, unnest(json_keys(j)) AS key, j FROM r WHERE json_type(j) = 'OBJECT'),
