@@ -43,10 +43,11 @@ def test_unreadable_and_empty(spark):
 
 
 def test_one_table(spark):
-    files = {("s", 0): ['{"stderr": 0.25, "n": 1}', '{"stderr": 0.5, "n": 2}'], ("s", 1): ['{"std_error": "0.375", "n": 3}'], ("s", 2): ["no"]}
+    files = {("s", 0): ['{"stderr": 0.25, "n": 1}', '{"stderr": 0.5, "n": 2}', '{"stderr": 0.75}'], ("s", 1): ['{"stderr": "0.3", "n": 3}'], ("s", 2): ['{"std_error": "0.375", "n": 3}'], ("s", 3): ["no"]}
     got = {(r.file_seq, r.line_no): r for r in schema_drift.consistent_table(raw(spark, files)).collect()}
-    assert (got[0, 1].stderr, got[1, 1].stderr, got[2, 1].stderr) == ("0.25", "0.375", None)
-    assert got[0, 1].rules == [] and "rename std_error to stderr" in got[1, 1].rules and got[2, 1].rules == ["unreadable"]
+    assert (got[0, 1].stderr, got[1, 1].stderr, got[2, 1].stderr, got[3, 1].stderr) == ("0.25", "0.3", "0.375", None)
+    assert got[0, 1].rules == [] and got[1, 1].rules == ["cast stderr from string to decimal"] and got[3, 1].rules == ["unreadable"]
+    assert got[2, 1].rules == ["cast stderr from string to decimal", "rename std_error to stderr"]
 
 
 LOG = """lead in

@@ -123,3 +123,16 @@ def test_bootstrap_and_code(spark):
     assert got[0].f[0].name == "f" and got[0].f[0].docstring == "doc" and [r.v for r in got] == [True, False, None, True]
     d = spark.createDataFrame([('{"option": "keep", "reason": "x"}',), ('{"option": "keep", "reason": " "}',), ('{"option": "other", "reason": "x"}',), ("no",), (None,)], "x string")
     assert [r.v for r in d.select(statistics.valid_decision(F.col("x")).alias("v")).collect()] == [True, False, False, False, False]
+
+
+def test_usage_behind_prefixes(spark):
+    said = lambda i, o: json.dumps({"type": "assistant", "message": {"usage": {"input_tokens": i, "output_tokens": o, "cache_read_input_tokens": None}}})
+    df = spark.createDataFrame([("t", "\n".join(["[12:00] " + said(5, 7), said(1, 2), '{"type": "user"}', '{"type": "assistant"}']))], "t string, text string")
+    r = lines.token_usage(lines.lines(df, "t", "text"), "t").collect()
+    assert [(x.messages, x.input_tokens, x.output_tokens, x.total_tokens) for x in r] == [(2, 6, 9, 15)]
+    assert lines.required_rows(df, "t", "t").count() == 1
+    try:
+        lines.required_rows(df, "t", "u")
+        raise AssertionError("an empty result must be an error")
+    except ValueError:
+        pass

@@ -251,6 +251,63 @@ def objective_episodes(s, d):
     return objective_contexts(s, d).select("trajectory_id", "call_index", o.alias("o")).select("trajectory_id", "call_index", "o.form", "o.signature", "o.confidence")
 
 
+_PLANS = r"(?:plan|approach|strategy|we will|i will|try|train|fine[- ]?tun|experiment|iteration|switch|instead|next)"
+_PROPOSED = f"""{_EV}, pr AS (SELECT trajectory_id, event_index, {labels.chain_sql(labels.FAMILIES, "lower(coalesce(command, '') || ' ' || coalesce(text, ''))", None)} AS family FROM e
+  WHERE event_type IN ('assistant_text', 'reasoning') AND regexp_matches(lower(coalesce(text, '') || ' ' || coalesce(command, '')), {literal(_PLANS)}) AND length(coalesce(text, '') || ' ' || coalesce(command, '')) >= 30),
+proposal AS (SELECT * FROM pr WHERE family IS NOT NULL)"""
+
+
+def _proposals(s, d):
+    """Statements of intent that name a family: assistant text or reasoning, never commands or results."""
+    e = rows(s, d, "agent_event", "trajectory_id", "event_index", "event_type", "text", "command").where(F.col("event_type").isin("assistant_text", "reasoning"))
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("command", F.lit("")))
+    own = e.where(F.lower(said).rlike(_PLANS) & (F.length(said) >= 30))
+    words = F.lower(F.concat(F.coalesce("command", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))))
+    return own.select("trajectory_id", "event_index", labels.chain(labels.FAMILIES, words, None).alias("family")).where("family is not null")
+
+
+@query(f"""WITH {_PROPOSED}, {_CALLS}, l AS (SELECT trajectory_id, call_index, event_index, {_FAMILY} AS family FROM c WHERE action_category IN {_IN})
+SELECT l.trajectory_id, l.call_index, l.family, p.event_index AS proposed_at FROM l ASOF LEFT JOIN proposal p ON l.trajectory_id = p.trajectory_id AND l.family = p.family AND l.event_index >= p.event_index""")
+def asof_proposal_by_family(s, d):
+    own = _calls(s, d).where(F.col("action_category").isin(MEANINGFUL))
+    own = own.select("trajectory_id", "call_index", "event_index", labels.strategy_family(F.col("command"), F.lit(None).cast("string"), F.col("action_category")).alias("family"))
+    marks = _proposals(s, d).withColumn("proposed_at", F.col("event_index"))
+    return ordered.asof_backward(own, marks, ["trajectory_id", "family"], "event_index", ["proposed_at"]).drop("event_index")
+
+
+@query(None)
+def data_source_labels(s, d):
+    """Where each launch's training data comes from: its script, and the marks of its files at or before the launch."""
+    ctx = objective_contexts(s, d).withColumn("source", F.concat_ws("\n", "command", "context"))
+    files = ctx.select("trajectory_id", "call_index", F.col("launch").alias("event_index"), F.explode(labels.data_files(F.col("source"))).alias("f")).select("trajectory_id", "call_index", "event_index", _base(F.col("f")).alias("file"))
+    marked = ordered.asof_backward(files, _provenance(s, d), ["trajectory_id", "file"], "event_index", ["kind"])
+    flags = marked.groupBy("trajectory_id", "call_index").agg(F.max(F.col("kind") == "self").alias("self"), F.max(F.col("kind") == "curated").alias("curated"))
+    form = labels.objective(F.col("command"), F.col("context"))["form"]
+    no = F.lit(False)
+    out = ctx.join(flags, ["trajectory_id", "call_index"], "left")
+    label = labels.data_source(form, F.col("source"), F.coalesce("self", no), F.coalesce("curated", no))
+    return out.select("trajectory_id", "call_index", form.alias("form"), label.alias("data_source"), labels.init_source(F.col("source")).alias("init_source"))
+
+
+@query(f"""WITH {_EV}, k AS (SELECT trajectory_id, event_index, command, {labels.v1_command_sql('command')} FROM e WHERE command <> '') SELECT trajectory_id, command, method, min(event_index) AS event_index FROM k WHERE training OR evaluation OR checkpoint GROUP BY 1, 2, 3""")
+def candidate_experiments(s, d):
+    """First-stage candidates: launches of training, evaluation or checkpoints, the first of each command."""
+    e = rows(s, d, "agent_event", "trajectory_id", "event_index", "command").where("command <> ''")
+    k = e.withColumn("v", labels.v1_command(F.col("command"), F.lit(None).cast("string"))).where("v.training or v.evaluation or v.checkpoint")
+    return ordered.keep_first(k.select("trajectory_id", "command", F.col("v.method").alias("method"), "event_index"), ["trajectory_id", "command", "method"], ["event_index"])
+
+
+@query(f"""WITH {_EV}, x AS (SELECT trajectory_id, coalesce(bool_or(event_type = 'result' AND lifecycle_status = 'completed'), false) AS terminal, coalesce(bool_or(event_type = 'error' OR (event_type = 'result' AND lifecycle_status = 'error')), false) AS failed, count(*) AS n_events FROM e GROUP BY 1)
+SELECT trajectory_id, n_events, terminal, failed, CASE WHEN terminal THEN 'complete' ELSE 'partial' END AS behavior, CASE WHEN failed AND NOT terminal THEN 'failed' WHEN terminal THEN 'complete' ELSE 'incomplete' END AS status FROM x""")
+def run_completeness(s, d):
+    e = rows(s, d, "agent_event", "trajectory_id", "event_index", "event_type", "lifecycle_status")
+    result = F.col("event_type") == "result"
+    x = e.groupBy("trajectory_id").agg(
+        F.coalesce(F.bool_or(result & (F.col("lifecycle_status") == "completed")), F.lit(False)).alias("terminal"), F.coalesce(F.bool_or((F.col("event_type") == "error") | (result & (F.col("lifecycle_status") == "error"))), F.lit(False)).alias("failed"), F.count("*").alias("n_events")
+    )
+    return x.withColumn("behavior", F.when(F.col("terminal"), "complete").otherwise("partial")).withColumn("status", F.when(F.col("failed") & ~F.col("terminal"), "failed").when(F.col("terminal"), "complete").otherwise("incomplete"))
+
+
 # ---- labels --------------------------------------------------------------------------------
 @query(f"WITH {_CALLS} SELECT trajectory_id, call_index, split_part({labels.action_sql('command')}, '/', 1) AS category, split_part({labels.action_sql('command')}, '/', 2) AS confidence FROM c")
 def action_categories(s, d):

@@ -66,3 +66,28 @@ def plain_blocks(numbered: DataFrame, key: str) -> DataFrame:
     grouped = own.groupBy(key, "block").agg(F.min_by("kind", "line_no").alias("kind"), F.min_by("line", "line_no").alias("head"), F.trim(body).alias("text"), F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"))
     tool = F.when(F.col("kind") == "tool_call", F.trim(F.regexp_extract("head", TOOL, 1)))
     return grouped.select(key, (F.col("block") - 1).alias("block"), "kind", tool.alias("tool_name"), "text", "line_start", "line_end")
+
+
+#: Token counts of an assistant message (fixed values).
+USAGE = ["input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens"]
+
+
+def token_usage(numbered: DataFrame, key: str) -> DataFrame:
+    """(key, messages, the four token sums, total_tokens) of the assistant messages in a log, whatever stands before their JSON.
+
+    Lines are looked through for the type's text before any JSON is parsed.
+    """
+    likely = numbered.where(F.col("line").rlike(r'"type"\s*:\s*"assistant"'))
+    rec = likely.select(key, json_object(F.col("line")).alias("rec")).where(F.try_variant_get("rec", "$.type", "string") == "assistant")
+    used = rec.where(F.try_variant_get("rec", "$.message.usage", "variant").isNotNull())
+    count = lambda c: F.sum(F.coalesce(F.try_variant_get("rec", f"$.message.usage.{c}", "bigint"), F.lit(0))).alias(c)
+    out = used.groupBy(key).agg(F.count("*").alias("messages"), *[count(c) for c in USAGE])
+    return out.withColumn("total_tokens", sum((F.col(c) for c in USAGE[1:]), F.col(USAGE[0])))
+
+
+def required_rows(df: DataFrame, column: str, value: str) -> DataFrame:
+    """Rows where a column has a value; none is an error."""
+    kept = df.where(F.col(column) == value)
+    if kept.isEmpty():
+        raise ValueError(f"no rows with {column} = {value}")
+    return kept
