@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.operators.blocks import blocked_lag
+from tracequarry.session import cut_lineage
 
 FILE = ["log_stream", "file_seq"]
 #: Distinct field names are schema, not data; beyond this many the rename map is refused.
@@ -78,6 +79,20 @@ def _with_content(fields: DataFrame) -> DataFrame:
     return fields.withColumn("number", number).withColumn("look", F.when(F.col("kind").isNotNull(), F.concat_ws(" ", "kind", look)))
 
 
+def _file_stats(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per file, field and kind of value: classes of content and range of numbers; and all files.
+
+    Sets and ranges are the same whether a record comes once or twice, so records are
+    not merged first: their texts are parsed where they are read and never shuffled.
+    The statistics are small (a few rows a file) and read by several joins: written once.
+    """
+    placed = raw.where("log_stream is not null and file_seq is not null and line_no is not null")
+    parsed = placed.select(*FILE, "line_no", F.try_parse_json("record").alias("v"))
+    fields = _with_content(record_fields(parsed))
+    stats = fields.groupBy(*FILE, "field", "kind").agg(F.collect_set("look").alias("looks"), F.min("number").alias("low"), F.max("number").alias("high"))
+    return cut_lineage(stats), placed.select(*FILE).distinct()
+
+
 def _greedy(pairs: Column) -> Column:
     """From scored pairs, best first, those whose names are still free."""
     zero = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<old:string,new:string>>").alias("picked"))
@@ -99,11 +114,9 @@ def schema_changes(raw: DataFrame) -> DataFrame:
 
     file_seq is the file that changed; new_name is set for renames only.
     """
-    records = unique_records(raw)
-    fields = _with_content(record_fields(records))
-    files = records.select(*FILE).distinct()
+    stats, files = _file_stats(raw)
     before = blocked_lag(files, ["log_stream"], "file_seq", F.struct("file_seq"), "b").where("b is not null").select(*FILE, F.col("b.file_seq").alias("prev_seq"))
-    held = fields.groupBy(*FILE, "field").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.collect_set("look").alias("looks"))
+    held = stats.groupBy(*FILE, "field").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.flatten(F.collect_set("looks")).alias("looks"))
     now = held.join(before, FILE).select(*FILE, "field", F.col("kinds").alias("new_kinds"), F.col("looks").alias("new_looks"))
     then = before.join(held.withColumnRenamed("file_seq", "prev_seq"), ["log_stream", "prev_seq"]).select(*FILE, "field", F.col("kinds").alias("old_kinds"), F.col("looks").alias("old_looks"))
     both = then.join(now, [*FILE, "field"], "full")
@@ -111,7 +124,7 @@ def schema_changes(raw: DataFrame) -> DataFrame:
     gone, come = both.where("new_kinds is null"), both.where("old_kinds is null")
     # what the two files hold must look alike; ranges of numbers are taken over the stream, as one file holds few
     nested = F.col("field").startswith(NESTED + ".")
-    ranges = fields.where("number is not null").groupBy("log_stream", "field", "kind").agg(F.min("number").alias("low"), F.max("number").alias("high"))
+    ranges = stats.where("low is not null").groupBy("log_stream", "field", "kind").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
     def side(rows: DataFrame, role: str, tag: str) -> DataFrame:
         kind = F.explode(f"{role}_kinds").alias("kind")
@@ -145,10 +158,10 @@ def schema_changes(raw: DataFrame) -> DataFrame:
 
 def file_versions(raw: DataFrame) -> DataFrame:
     """(log_stream, file_seq, fingerprint, n_fields): a file's fields with their types, as a hash."""
-    records = unique_records(raw)
-    held = record_fields(records).groupBy(*FILE, "field").agg(F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("k"))
+    placed = raw.where("log_stream is not null and file_seq is not null and line_no is not null")
+    held = record_fields(placed.select(*FILE, "line_no", F.try_parse_json("record").alias("v"))).groupBy(*FILE, "field").agg(F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("k"))
     prints = held.groupBy(*FILE).agg(F.array_sort(F.collect_list(F.concat_ws(":", "field", "k"))).alias("fs"))
-    files = records.select(*FILE).distinct()
+    files = placed.select(*FILE).distinct()
     return files.join(prints, FILE, "left").select(*FILE, F.sha2(F.array_join(F.coalesce("fs", F.array().cast("array<string>")), ","), 256).alias("fingerprint"), F.coalesce(F.size("fs"), F.lit(0)).alias("n_fields"))
 
 
