@@ -196,9 +196,9 @@ class Model:
             return True
         return score >= THRESHOLD and not (WHOLE.search(value[-3:]) and not open_marks(value))
 
-    def fit(self, rows: list[tuple[list[str], int]], rounds: int = 60, rate: float = 0.3, decay: float = 2e-5) -> None:
+    def fit(self, rows: list[tuple[np.ndarray, int]], rounds: int = 60, rate: float = 0.3, decay: float = 2e-5) -> None:
         """Full-batch gradient steps with per-weight rates."""
-        at = np.concatenate([hashed(f) for f, _ in rows])
+        at = np.concatenate([f for f, _ in rows])
         of = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
         y = np.array([label for _, label in rows], np.float64)
         share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum()))
@@ -244,33 +244,32 @@ def _unpivoted(events: DataFrame) -> DataFrame:
     return events.select("trajectory_id", "event_index", F.coalesce("source_format", F.lit("unknown")).alias("source"), F.explode(values).alias("x")).select("trajectory_id", "event_index", "source", "x.field", "x.value")
 
 
-def _examples(rows: list[tuple[str, str, str]], model: Model, random: np.random.Generator) -> list[tuple[list[str], int]]:
-    """Intact values as they are (0) and cut (1)."""
-    out = []
-    for value, source, field in rows:
-        out.append((model.features(value, source, field), 0))
-        body = value.rstrip()
-        if len(body) < 12:
-            continue
-        chars, bytes_ = model.limits.get((source, field), (frozenset(), frozenset()))
-        for _ in range(2):
-            cut = int(random.integers(6, len(body)))
-            if "\n" in body[cut - 1 : cut + 1] or MARK.search(body[:cut]):
-                continue
-            out.append((model.features(body[:cut], source, field), 1))
-        limit = max(chars, default=0) or max(bytes_, default=0)
-        if random.random() < 0.15:  # a value at the limit, and a marked one
-            grown = (body + "\n") * (limit // (len(body) + 1) + 1) if limit else body
-            if limit:
-                out.append((model.features(grown[:limit], source, field), 1))
-            cut = int(random.integers(len(body) // 2, len(body)))
-            out.append((model.features(body[:cut] + _MARKS[int(random.integers(len(_MARKS)))], source, field), 1))
-        lines = body.split("\n")
-        if field == "command_output" and len(lines) > 2:  # whole lines are complete
-            k = int(random.integers(1, len(lines)))
-            shown = "\n".join(lines[:k])
-            if not open_marks(shown) and lines[k - 1].strip() and not lines[k].startswith((" ", "\t")):
-                out.append((model.features(shown + ("\n" if random.random() < 0.3 else ""), source, field), 0))
+def _examples(row: tuple[str, str, str], model: Model, random: np.random.Generator) -> list[tuple[np.ndarray, int]]:
+    """An intact value as it is (0, first of the list) and cut (1), as hashed features."""
+    value, source, field = row
+    own = lambda v: hashed(model.features(v, source, field))
+    out = [(own(value), 0)]
+    body = value.rstrip()
+    if len(body) < 12:
+        return out
+    chars, bytes_ = model.limits.get((source, field), (frozenset(), frozenset()))
+    for _ in range(2):
+        cut = int(random.integers(6, len(body)))
+        if "\n" not in body[cut - 1 : cut + 1] and not MARK.search(body[:cut]):
+            out.append((own(body[:cut]), 1))
+    limit = max(chars, default=0) or max(bytes_, default=0)
+    if random.random() < 0.15:  # a value at the limit, and a marked one
+        if limit:
+            grown = (body + "\n") * (limit // (len(body) + 1) + 1)
+            out.append((own(grown[:limit]), 1))
+        cut = int(random.integers(len(body) // 2, len(body)))
+        out.append((own(body[:cut] + _MARKS[int(random.integers(len(_MARKS)))]), 1))
+    lines = body.split("\n")
+    if field == "command_output" and len(lines) > 2:  # whole lines are complete
+        k = int(random.integers(1, len(lines)))
+        shown = "\n".join(lines[:k])
+        if not open_marks(shown) and lines[k - 1].strip() and not lines[k].startswith((" ", "\t")):
+            out.append((own(shown + ("\n" if random.random() < 0.3 else "")), 0))
     return out
 
 
@@ -293,10 +292,12 @@ def train(events: DataFrame, sample: int = SAMPLE) -> Model | None:
     known = Words(w for w, n in counts.items() if n >= 3)
     model = Model(np.zeros(SLOTS), limits, known)
     intact = [r for r in rows if not MARK.search(r[0]) and "fills" not in model.features(*r)]
-    taken = intact or rows
+    random = np.random.default_rng(7)
+    made = [_examples(r, model, random) for r in intact or rows]
+    taken = made
     for _ in range(ROUNDS):
-        model.fit(_examples(taken, model, np.random.default_rng(7)))
-        taken = [r for r in intact if model.score(*r) < DOUBT] or rows
+        model.fit([e for examples in taken for e in examples])
+        taken = [examples for examples in made if model.weights[examples[0][0]].sum() < DOUBT] or made
     return model
 
 
