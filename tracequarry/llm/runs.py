@@ -23,13 +23,18 @@ from pyspark.sql import functions as F
 from tracequarry.operators.blocks import BLOCK, blocked_lag, blocked_lead
 
 KEY = ["trajectory_id", "call_index"]
-USED = ["command", "monitoring_action", "started_at", "ended_at"]
 
 
-def unique_calls(calls: DataFrame) -> DataFrame:
-    """One row per (trajectory_id, call_index)."""
+def unique_calls(calls: DataFrame, texts: bool) -> DataFrame:
+    """One row per (trajectory_id, call_index) with its key, a hash that stands for the command.
+
+    Commands themselves travel only where they are asked for.
+    """
     kept = calls.where("trajectory_id is not null and call_index is not null")
-    return kept.groupBy(*KEY).agg(F.min(F.struct("ingested_at", *USED)).alias("r")).select(*KEY, *[F.col(f"r.{c}") for c in USED])
+    key = F.unhex(F.md5(match_key(F.col("command"), F.col("monitoring_action"))))
+    used = [*(["command"] if texts else []), "monitoring_action", "started_at", "ended_at", "key"]
+    kept = kept.select(*KEY, "ingested_at", "command", "monitoring_action", "started_at", "ended_at", key.alias("key"))
+    return kept.groupBy(*KEY).agg(F.min(F.struct("ingested_at", *used)).alias("r")).select(*KEY, *[F.col(f"r.{c}") for c in used])
 
 
 def match_key(command: Column, monitoring: Column) -> Column:
@@ -40,26 +45,27 @@ def match_key(command: Column, monitoring: Column) -> Column:
     return F.concat(flag, F.when(monitoring, masked).otherwise(spaced))
 
 
-def command_runs(calls: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per run (also runs of one call): first and last index, count, times."""
-    rows = unique_calls(calls).withColumn("key", match_key(F.col("command"), F.col("monitoring_action")))
+def command_runs(calls: DataFrame, block: int = BLOCK, texts: bool = True) -> DataFrame:
+    """One row per run (also runs of one call): first and last index, count, times, and the first command (unless texts is False)."""
+    rows = unique_calls(calls, texts)
+    text = ["command"] if texts else []
     rows = blocked_lag(rows, ["trajectory_id"], "call_index", F.struct("call_index", "key", "ended_at"), "prev", block)
     same = (F.col("prev.call_index") == F.col("call_index") - 1) & (F.col("prev.key") == F.col("key"))
     starts = rows.where(~F.coalesce(same, F.lit(False)))
-    starts = starts.select(*KEY, "command", "monitoring_action", "started_at", "key", F.struct(F.col("prev.call_index").alias("i"), F.col("prev.ended_at").alias("t")).alias("before"))
+    starts = starts.select(*KEY, *text, "monitoring_action", "started_at", "key", F.struct(F.col("prev.call_index").alias("i"), F.col("prev.ended_at").alias("t")).alias("before"))
     starts = blocked_lead(starts, ["trajectory_id"], "call_index", F.col("before"), "stop", block)
     tails = rows.groupBy("trajectory_id").agg(F.max(F.struct(F.col("call_index").alias("i"), F.col("ended_at").alias("t"))).alias("tail"))
     # only the last start of a trajectory lacks a next one, so this join moves one row a trajectory
     inner = starts.where("stop is not null").withColumn("end", F.col("stop"))
     final = starts.where("stop is null").join(tails, "trajectory_id").withColumn("end", F.col("tail"))
-    columns = ["trajectory_id", "call_index", "command", "monitoring_action", "started_at", "key", "end"]
+    columns = ["trajectory_id", "call_index", *text, "monitoring_action", "started_at", "key", "end"]
     runs = inner.select(*columns).unionByName(final.select(*columns)).where("key is not null")
     return runs.select(
         "trajectory_id",
         F.col("call_index").alias("first_call_index"),
         F.col("end.i").alias("last_call_index"),
         (F.col("end.i") - F.col("call_index") + 1).alias("n_calls"),
-        "command",
+        *text,
         F.coalesce("monitoring_action", F.lit(False)).alias("is_polling"),
         F.col("started_at").alias("first_start"),
         F.col("end.t").alias("last_end"),
@@ -69,4 +75,4 @@ def command_runs(calls: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def repeated_runs(calls: DataFrame, block: int = BLOCK) -> DataFrame:
     """p3_found: the runs of two or more calls."""
-    return command_runs(calls, block).where("n_calls >= 2").select("trajectory_id", "first_call_index", "last_call_index")
+    return command_runs(calls, block, texts=False).where("n_calls >= 2").select("trajectory_id", "first_call_index", "last_call_index")
