@@ -53,9 +53,13 @@ def uniform_role(role: Column) -> Column:
     return out.otherwise(plain)
 
 
-def merged_messages(messages: DataFrame) -> DataFrame:
-    """Rows equal in all but ingested_at are one row; roles get their uniform name."""
-    kept = messages.select(*COLUMNS).where("trajectory_id is not null").distinct()
+def merged_messages(messages: DataFrame, texts: bool = True) -> DataFrame:
+    """Rows equal in all but ingested_at are one row; roles get their uniform name.
+
+    Without texts their hashes stand for them; either way `seen` tells whether a text shows something.
+    """
+    kept = messages.select(*COLUMNS, visible(F.col("text")).alias("seen")).where("trajectory_id is not null")
+    kept = (kept if texts else kept.withColumn("text", F.unhex(F.md5("text")))).distinct()
     return kept.withColumn("speaker", uniform_role(F.col("role")))
 
 
@@ -102,7 +106,7 @@ def _verdicts(rows: DataFrame, block: int) -> DataFrame:
     per_index = rows.groupBy("trajectory_id", "event_index").agg(
         F.count("*").alias("n"),
         F.max(F.col("speaker").isNull()).alias("no_role"),
-        F.max(visible(F.col("text")) & ~_system_row()).alias("seen"),
+        F.max(F.col("seen") & ~_system_row()).alias("seen"),
         F.min(_steps(rows)).alias("f"),  # rows that share an index drop the conversation in any case
     )
     shape = per_index.groupBy("trajectory_id").agg(
@@ -143,7 +147,7 @@ def _verdicts(rows: DataFrame, block: int) -> DataFrame:
 
 def conversation_verdicts(messages: DataFrame, block: int = BLOCK) -> DataFrame:
     """(trajectory_id, n_rows, reasons): why each conversation is dropped, if it is."""
-    return _verdicts(merged_messages(messages), block)
+    return _verdicts(merged_messages(messages, texts=False), block)
 
 
 def dropped_conversations(messages: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -158,5 +162,5 @@ def conversations(messages: DataFrame, block: int = BLOCK) -> DataFrame:
     too long for one value.
     """
     rows = merged_messages(messages)
-    kept = _verdicts(rows, block).where(F.size("reasons") == 0).select("trajectory_id")
+    kept = conversation_verdicts(messages, block).where(F.size("reasons") == 0).select("trajectory_id")
     return rows.join(kept, "trajectory_id", "left_semi").select("trajectory_id", "event_index", "speaker", "event_type", "tool_name", "call_id", "text")
