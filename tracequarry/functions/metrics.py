@@ -25,19 +25,24 @@ def is_metric(name: Column) -> Column:
     return (leaf.isin(METRIC_KEYS) | leaf.rlike(METRIC_PARTS)) & ~leaf.rlike(COUNT_PARTS)
 
 
-def text_metrics(df: DataFrame, text: str) -> DataFrame:
-    """Adds metric_name, metric_value: one row a value named in the text.
+def metric_points(text: Column) -> Column:
+    """The values named in a text, as array<struct<metric_name, metric_value>>.
 
     'name: 50 %' is a fraction, a bare value above 1 is no score, 'name a/b' is a share.
     """
-    found = F.regexp_extract_all(F.col(text), F.lit(NAMED_VALUE_MATCH), F.lit(1))
-    shares = F.regexp_extract_all(F.col(text), F.lit(NAMED_SHARE_MATCH), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(NAMED_VALUE_MATCH), F.lit(1))
+    shares = F.regexp_extract_all(text, F.lit(NAMED_SHARE_MATCH), F.lit(1))
     number = lambda x, p, g: F.regexp_extract(x, p, g).cast("double")
     one = F.transform(found, lambda x: F.struct(F.regexp_extract(x, NAMED_VALUE, 1).alias("metric_name"), F.when(x.endswith("%"), number(x, NAMED_VALUE, 2) / 100).when(number(x, NAMED_VALUE, 2) <= 1, number(x, NAMED_VALUE, 2)).alias("metric_value")))
     a, b = (lambda x: number(x, NAMED_SHARE, 2)), (lambda x: number(x, NAMED_SHARE, 3))
     two = F.transform(shares, lambda x: F.struct(F.regexp_extract(x, NAMED_SHARE, 1).alias("metric_name"), F.when((b(x) > 0) & (a(x) <= b(x)), a(x) / b(x)).alias("metric_value")))
-    points = df.where(F.col(text).isNotNull()).withColumn("_m", F.explode(F.concat(one, two)))
-    return points.select(*df.columns, "_m.metric_name", "_m.metric_value").where("metric_value is not null")
+    return F.filter(F.concat(one, two), lambda p: p["metric_value"].isNotNull())
+
+
+def text_metrics(df: DataFrame, text: str) -> DataFrame:
+    """Adds metric_name, metric_value: one row a value named in the text."""
+    points = df.where(F.col(text).isNotNull()).withColumn("_m", F.explode(metric_points(F.col(text))))
+    return points.select(*df.columns, "_m.metric_name", "_m.metric_value")
 
 
 def json_leaves(df: DataFrame, text: str, most_depth: int = 32) -> DataFrame:

@@ -148,13 +148,15 @@ calls AS (SELECT trajectory_id, g, min(event_index) AS event_index, arg_min(comm
   arg_max(exit_code, event_index) FILTER (exit_code IS NOT NULL) AS exit_code, arg_min(tool_name, event_index) FILTER (tool_name <> '') AS tool_name, arg_max(lifecycle_status, event_index) FILTER (lifecycle_status <> '') AS lifecycle_status, count(*) AS n_events FROM k GROUP BY 1, 2)
 SELECT trajectory_id, CAST(row_number() OVER (PARTITION BY trajectory_id ORDER BY event_index) - 1 AS BIGINT) AS call_index, event_index, command, output_hash, exit_code, tool_name, lifecycle_status, n_events FROM calls""")
 def lifecycle_merge_first_last(s, d):
-    e = rows(s, d, "agent_event", "trajectory_id", "event_index", "event_type", "call_id", "item_id", "command", "command_output", "exit_code", "tool_name", "lifecycle_status").where(F.col("event_type").isin("tool_call", "command_execution"))
+    e = table(s, d, "agent_event").where(F.col("event_type").isin("tool_call", "command_execution"))
+    output = F.when(F.col("command_output") != "", F.md5("command_output"))  # outputs are long: their hashes travel
+    e = e.select("trajectory_id", "event_index", "call_id", "item_id", "command", output.alias("output_hash"), "exit_code", "tool_name", "lifecycle_status").distinct()
     group = F.coalesce("call_id", "item_id", F.concat(F.lit("event "), F.col("event_index").cast("string")))
     filled = lambda c: F.when(F.col(c) != "", F.col("event_index"))
     merged = e.withColumn("g", group).groupBy("trajectory_id", "g").agg(
         F.min("event_index").alias("event_index"),
         F.min_by("command", filled("command")).alias("command"),
-        F.max_by(F.md5("command_output"), filled("command_output")).alias("output_hash"),
+        F.max_by("output_hash", filled("output_hash")).alias("output_hash"),
         F.max_by("exit_code", F.when(F.col("exit_code").isNotNull(), F.col("event_index"))).alias("exit_code"),
         F.min_by("tool_name", filled("tool_name")).alias("tool_name"),
         F.max_by("lifecycle_status", filled("lifecycle_status")).alias("lifecycle_status"),
@@ -178,7 +180,8 @@ mark AS (SELECT trajectory_id, event_index, lower(regexp_replace(f, '^.*/', ''))
 
 
 def _sources(s, d):
-    e = rows(s, d, "agent_event", "trajectory_id", "event_index", "file_content", "command")
+    """Written files and commands as read; what is taken from them is made distinct, so texts are not shuffled."""
+    e = table(s, d, "agent_event").select("trajectory_id", "event_index", "file_content", "command")
     source = F.coalesce(F.when(F.col("file_content") != "", F.col("file_content")), F.when(F.col("command") != "", F.col("command")))
     return e.select("trajectory_id", "event_index", source.alias("source")).where("source is not null")
 
@@ -228,7 +231,7 @@ def objective_contexts(s, d):
     """
     launches = _calls(s, d).where("training_launched").select("trajectory_id", "call_index", F.col("event_index").alias("launch"), "command")
     target = launches.select("trajectory_id", "call_index", "launch", F.explode(F.array_distinct(labels.launched_scripts(F.col("command")))).alias("script"))
-    e = rows(s, d, "agent_event", "trajectory_id", "event_index", "file_path", "file_content", "command", "text")
+    e = table(s, d, "agent_event").select("trajectory_id", "event_index", "file_path", "file_content", "command", "text")
     source = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("file_content", "command", "text")])
     writes = F.col("file_path").isNotNull() | F.col("source").rlike(r"(?i)(?:cat|tee|printf|echo)\s+[^\n]*(?:>|>>)|apply_patch|filePath|newString|new_text")
     e = e.withColumn("source", source).where("source is not null").withColumn("writes", writes)
@@ -259,7 +262,7 @@ proposal AS (SELECT * FROM pr WHERE family IS NOT NULL)"""
 
 def _proposals(s, d):
     """Statements of intent that name a family: assistant text or reasoning, never commands or results."""
-    e = rows(s, d, "agent_event", "trajectory_id", "event_index", "event_type", "text", "command").where(F.col("event_type").isin("assistant_text", "reasoning"))
+    e = table(s, d, "agent_event").select("trajectory_id", "event_index", "event_type", "text", "command").where(F.col("event_type").isin("assistant_text", "reasoning"))
     said = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("command", F.lit("")))
     own = e.where(F.lower(said).rlike(_PLANS) & (F.length(said) >= 30))
     words = F.lower(F.concat(F.coalesce("command", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))))
@@ -336,7 +339,7 @@ def script_basenames(s, d):
 
 @query(f"WITH {_EV}, src AS (SELECT trajectory_id, event_index, {_SRC} AS source FROM e WHERE {_SRC} IS NOT NULL) SELECT trajectory_id, event_index, {labels.data_files_sql('source')} AS files, {labels.init_source_sql('source')} AS init_source FROM src")
 def data_files_and_init(s, d):
-    return _sources(s, d).select("trajectory_id", "event_index", labels.data_files(F.col("source")).alias("files"), labels.init_source(F.col("source")).alias("init_source"))
+    return _sources(s, d).select("trajectory_id", "event_index", labels.data_files(F.col("source")).alias("files"), labels.init_source(F.col("source")).alias("init_source")).distinct()
 
 
 _JUDGED = ", ".join(f"{labels.judgement_v1_sql('text', k)} AS v1_{k}" for k in ("contamination", "disallowed"))
@@ -383,7 +386,9 @@ points AS (SELECT * FROM pt WHERE metric_value IS NOT NULL)"""
 
 
 def _points(s, d):
-    return metrics.text_metrics(rows(s, d, "agent_event", "trajectory_id", "event_index", "command_output"), "command_output").drop("command_output")
+    found = table(s, d, "agent_event").where("command_output is not null").select("trajectory_id", "event_index", metrics.metric_points(F.col("command_output")).alias("ps"))
+    each = found.where(F.size("ps") > 0).distinct().select("trajectory_id", "event_index", F.explode("ps").alias("p"))
+    return each.select("trajectory_id", "event_index", "p.metric_name", "p.metric_value")
 
 
 @query(f"WITH {_POINTS} SELECT * FROM points")
@@ -781,9 +786,9 @@ def cluster_bootstrap(s, d):
 @query(None)
 def python_function_extract(s, d):
     """Top-level Python functions in written files; parsed, never run."""
-    e = rows(s, d, "agent_event", "trajectory_id", "event_index", "file_path", "file_content").where("file_path like '%.py' and file_content is not null")
+    e = table(s, d, "agent_event").where("file_path like '%.py' and file_content is not null")
     f = e.select("trajectory_id", "event_index", F.explode(statistics.python_functions("file_content")).alias("f"))
-    return f.select("trajectory_id", "event_index", "f.name", "f.n_lines")
+    return f.select("trajectory_id", "event_index", "f.name", "f.n_lines").distinct()
 
 
 def _stream(s, d):
