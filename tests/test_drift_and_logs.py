@@ -93,3 +93,25 @@ def test_long_values_and_words_of_severity(spark):
     prose = "The error rate rose. No warning was given: info is scarce.\n" * 3000
     df = entries(spark, [("t", 1, prose + "INFO:a:last", prose, "x", 1), ("t", 2, "0 errors\nERROR\nFatal\nerror: pathspec", None, "x", 1)])
     assert [(r.event_index, r.first_line) for r in log_lines.entry_spans(df).collect()] == [(1, 3001)]
+
+
+LATE = """{"ts": "2026-02-02T02:42:26.052Z", "logger": "engine.core.io", "host": "gpu-12", "level": "INFO", "msg": "first"}
+{"msg": "a long message, with level=debug in it and {\\"level\\": \\"debug\\"} too, in many words", "ctx": {"level": "trace"}, "logger": "b", "ts": "2026-02-02T02:42:27Z", "level": "error"}
+{"message": "cut off in the tail, so that it is no JSON", "a": [1, 2], "time": "2026-02-02T02:42:28Z", "severity": "WARNING", "name": "c", "x": "y
+time=2026-02-02T02:57:43Z msg="set level=debug in this long message of many, many words" component=io level=warn
+2026-02-02T02:57:44Z msg=worker 3 of 4 has started up and is now ready for work logger=pool level=info
+[2026-02-02 03:00:00,123] [pid 123] [thread main] [rank 0 of 8] [local 3] [engine] [ERROR] plain
+"""
+
+
+def test_fields_far_into_the_line(spark):
+    df = entries(spark, [("t", 1, LATE, None, "x", 1), ("t", 2, '{"ts": "2026-02-02T02:42:26Z", "msg": "level: error", "n": 1}', None, "x", 1)])
+    got = log_lines.log_entries(df).orderBy("first_line").collect()
+    assert [(r.first_line, r.last_line, r.level, r.component) for r in got] == [
+        (1, 1, "INFO", "engine.core.io"), (2, 2, "ERROR", "b"), (3, 3, "WARNING", "c"), (4, 4, "WARNING", "io"), (5, 5, "INFO", "pool"), (6, 6, "ERROR", "engine"),
+    ]
+    assert [r.timestamp for r in got] == ["2026-02-02T02:42:26.052Z", "2026-02-02T02:42:27Z", "2026-02-02T02:42:28Z", "2026-02-02T02:57:43Z", "2026-02-02T02:57:44Z", "2026-02-02 03:00:00,123"]
+    assert got[3].message == "set level=debug in this long message of many, many words" and got[4].message == "worker 3 of 4 has started up and is now ready for work" and got[5].message == "plain"
+    assert got[2].message == "cut off in the tail, so that it is no JSON"
+    assert got[1].template == '{"msg": "<*>", "<NAME>": {"level": "<*>"}, "logger": "<NAME>", "ts": "<TIME>", "level": "<level>'
+    assert log_lines.entry_spans(df).count() == 6

@@ -1,12 +1,17 @@
 """Problem 7: semi-structured log lines into timestamp, level, component and message.
 
-A fixed-depth template tree. The tokens at a line's start are masked (times, levels,
-numbers and names become placeholders), the masked line is routed by the number of its
-header tokens and by its leading tokens, similar templates of a leaf are merged (what
-differs becomes ``<*>``), and a template's positions say where the fields are.
+A line's tokens are masked (times, levels, numbers and names become placeholders), and
+rules on the masked tokens say where the header ends and where its fields are. A
+fixed-depth template tree groups the headers: lines of equal header share a template.
+
+Of JSON and key=value lines every key counts, wherever it stands; what stands within a
+quoted value is no key, and keys of inner objects count only where the outer has none.
+Of a plain line, a time and a severity in capitals count anywhere; other severities
+where the line begins with a time or a severity, or else before prose begins (three words
+in a row, outside of brackets); the component before the prose that follows the severity.
 
 The header's extent and positions depend on the masked tokens alone, so every worker
-finds the same entries whatever it saw before; merging only concerns message tokens.
+finds the same entries whatever it saw before.
 
 Defined results
 * null and blank values, and values without an entry, give no rows;
@@ -50,17 +55,22 @@ CANDIDATE = re.compile(rf"(?<![A-Za-z])(?:{_WORDS})(?![A-Za-z])|^[A-Z]\d{{4}} \d
 _CLOCK = r"\d{1,2}:\d\d:\d\d(?:[.,]\d+)?"
 _TIME = rf"\d{{4}}[-/.]\d\d[-/.]\d\d[T ]{_CLOCK}(?: ?(?:Z|UTC|[+-]\d\d:?\d\d))?|\d\d[-/.]\d\d(?:[-/.]\d{{2,4}})?[T ]{_CLOCK}|(?:[A-Z][a-z]{{2}} )?[A-Z][a-z]{{2}} [ \d]\d {_CLOCK}(?: \d{{4}})?|{_CLOCK}|\d{{10}}(?:\.\d+|\d{{3}})?(?![\d.])"
 TOKEN = re.compile(rf"(?P<G>(?<![^\n])[TVDIWEFC](?=\d{{4}} {_CLOCK}))|(?P<T>(?:(?<![^A-Z\n])\d{{4}} {_CLOCK})|{_TIME})|(?P<N>[A-Za-z_@][\w.\-/]*)|(?P<D>\d[\w.]*)|(?P<S>[ \t]+)|(?P<P>.)")
-#: Tokens of a line that are masked, and the place up to which a level, time or component counts as header.
-MASKED, HEADER = 26, 18
+#: Keys, strings, other values and marks of a JSON line; pairs of a key=value line.
+JSON_TOKEN = re.compile(r'"(?P<K>(?:[^"\\]|\\.)*)"(?=\s*:)|"(?P<V>(?:[^"\\]|\\.)*)"?|(?P<W>[^\s",:{}\[\]]+)|(?P<P>.)')
+PAIR = re.compile(r'(?<![^\s,;|(\[{])(?P<K>[A-Za-z_@][\w.\-/@]*)=(?:"(?P<V>(?:[^"\\]|\\.)*)"?|(?P<W>[^\s,;")\]}]*))|"(?:[^"\\]|\\.)*"')
+_CLOCKED = re.compile(_TIME)
+_NUMBER = re.compile(r"\d[\w.]*")
+#: JSON, or key=value, the latter also behind a time.
+_STRUCTURED = re.compile(rf'\{{|"[^"]*"|(?P<lead>[\[(]?(?:{_TIME})[\])]?[ \t|-]+)?[A-Za-z_@][\w.\-/@]*=')
 
 
 class Template:
-    """A leaf: masked tokens, positions of the fields, and how many lines it took."""
+    """A header: its masked tokens, and the positions of the fields."""
 
-    __slots__ = ("component", "count", "end", "level", "message", "time", "tokens")
+    __slots__ = ("component", "end", "level", "time", "tokens")
 
-    def __init__(self, tokens, level, time, component, message, end):
-        self.tokens, self.level, self.time, self.component, self.message, self.end, self.count = list(tokens), level, time, component, message, end, 0
+    def __init__(self, tokens, level, time, component, end):
+        self.tokens, self.level, self.time, self.component, self.end = list(tokens), level, time, component, end
 
 
 def _mask(match: re.Match) -> str:
@@ -83,6 +93,91 @@ def _mask(match: re.Match) -> str:
     return text
 
 
+def _pairs(line: str) -> list[tuple[int, str, int, int]]:
+    """(depth, key, start and end of the value without quotes) of a JSON or key=value line; inner objects as they come."""
+    out = []
+    if line[0] not in '{"':
+        for m in PAIR.finditer(line):
+            if m["K"]:
+                out.append((0, m["K"].lower(), *m.span("V" if m["V"] is not None else "W")))
+        return out
+    depth, key = 0, None
+    for m in JSON_TOKEN.finditer(line):
+        kind = m.lastgroup
+        if kind == "K":
+            key = m["K"].lower()
+        elif kind in "VW":
+            if key is not None and m.group() != "null":
+                out.append((depth, key, *m.span(kind)))
+            key = None
+        elif m["P"] in "{[":
+            depth, key = depth + 1, None
+        elif m["P"] in "}]":
+            depth, key = depth - 1, None
+    return out
+
+
+def _structured(line: str) -> tuple[Template, list[tuple[int, int]], tuple[int, int] | None] | None:
+    """(template, spans of its tokens, span of the message) of a JSON or key=value line; None if it starts no entry."""
+    pairs = _pairs(line)
+
+    def first(keys: set[str], good) -> tuple[int, int] | None:
+        own = [(depth, a, b) for depth, key, a, b in pairs if key in keys and b > a and good(line[a:b])]
+        return min(own)[1:] if own else None
+
+    level = first(LEVEL_KEYS, lambda v: v.lower() in NAMED or v in LETTERS)
+    if level is None:
+        return None
+    time = first(TIME_KEYS, lambda v: _CLOCKED.match(v) or _NUMBER.match(v))
+    component = first(COMPONENT_KEYS, lambda v: v.strip())
+    message = first(MESSAGE_KEYS, lambda v: v.strip())
+    keyed = {"level": level, "time": time, "component": component, "message": message}
+    if time is not None:
+        a, b = time
+        keyed["time"] = a, a + len((_CLOCKED.match(line[a:b]) or _NUMBER.match(line[a:b])).group())
+    else:
+        found = next((m for m in _CLOCKED.finditer(line) if message is None or not message[0] <= m.start() < message[1]), None) or _CLOCKED.search(line)
+        keyed["time"] = found and found.span()
+    if component is not None and line[0] not in '{"':  # the line number goes with the component
+        a, b = component
+        keyed["component"] = a, a + len(re.sub(r":\d+$", "", line[a:b]))
+    if keyed["time"] is None and component is None:
+        return None
+    # fields and keys keep their place in the template, all other values are one token each
+    spots = {span: name for name, span in keyed.items() if span and name != "message"}
+    values = {(a, b) for _, _, a, b in pairs if b > a and (a, b) not in (level, time, component)}
+    if keyed["time"] and any(a <= keyed["time"][0] < b for a, b in values):
+        values = {(a, b) for a, b in values if not a <= keyed["time"][0] < b}
+    tokens, spans, at, places = [], [], 0, {}
+
+    def plain(stop: int) -> None:
+        for m in TOKEN.finditer(line, at, stop):
+            tokens.append(_mask(m))
+            spans.append(m.span())
+
+    for (a, b), name in sorted([*spots.items(), *((v, "") for v in values)]):
+        if a < at:
+            continue
+        plain(a)
+        word = line[a:b]
+        places[name] = len(tokens)
+        tokens.append({"level": ("<LEVEL>" if word.isupper() else "<level>") if word.lower() in NAMED else word, "time": "<TIME>" if _CLOCKED.match(word) else "<NUM>", "component": "<NAME>", "": "<*>"}[name])
+        spans.append((a, b))
+        at = b
+    plain(len(line))
+    level, time, component = (places.get(x) for x in ("level", "time", "component"))
+    end = max(x for x in (level, time, component) if x is not None) + 1
+    if component == end - 1 and tokens[end : end + 2] == [":", "<NUM>"]:
+        end += 2
+    while end < len(tokens) and tokens[end] in (" ", ":", "]", ")", "|", ">", "-"):
+        end += 1
+    if message is not None and line[0] not in '{"' and line[message[0] - 1] != '"':  # unquoted: up to the next field
+        known = LEVEL_KEYS | TIME_KEYS | COMPONENT_KEYS | MESSAGE_KEYS
+        later = [m.start() for m in PAIR.finditer(line, message[1]) if m["K"] and m["K"].lower() in known]
+        message = message[0], message[0] + len(line[message[0] : min([*later, len(line)])].rstrip())
+    return Template(tokens[:end], level, time, component, end), [*spans, (len(line), len(line))][: end + 1], message
+
+
 def _keyed(tokens: tuple[str, ...], keys: set[str]) -> int | None:
     """Position of the value of the first key=value or "key": "value" with one of the keys."""
     for i, t in enumerate(tokens):
@@ -100,36 +195,57 @@ def _keyed(tokens: tuple[str, ...], keys: set[str]) -> int | None:
     return None
 
 
+def _prose(tokens: tuple[str, ...], begin: int = 0) -> int:
+    """Where the first three words in a row, outside of brackets, begin; the number of tokens if nowhere."""
+    depth, words = 0, []
+    for i in range(begin, len(tokens)):
+        t = tokens[i]
+        if t in "([<" or t in ")]>":
+            depth, words = max(depth + (1 if t in "([<" else -1), 0), []
+        elif t == " " or depth:
+            continue
+        elif t[0].isalpha() or t == "<NAME>":
+            words.append(i)
+            if len(words) == 3:
+                return words[0]
+        else:
+            words = []
+    return len(tokens)
+
+
 def locate(tokens: tuple[str, ...]) -> Template | None:
-    """Where the fields are in a masked line; None if it starts no entry.
+    """Where the fields are in a masked plain line; None if it starts no entry.
 
     A severity counts where it is in capitals, a lone delimited letter, a keyed value,
-    in brackets or before a colon; it must come with a time or a component.
+    in brackets or before a colon; it must come with a time or a component. A component
+    stands before the prose that follows the severity.
     """
     at = lambda i: tokens[i] if 0 <= i < len(tokens) else ""
     beside = lambda i: time is not None or all(x in " []():|-/>" for x in tokens[level + 1 : i])
-    structured = at(0) == "{" or at(1) == "=" or (at(0) == '"' and at(2) == '"')
-    level = _keyed(tokens, LEVEL_KEYS)
-    if level is not None and at(level) not in ("<LEVEL>", "<level>", *LETTERS):
-        level = None
-    if level is None and not structured:
-        for i, t in enumerate(tokens[:HEADER]):
-            before, after = at(i - 1), at(i + 1)
-            if t == "<LETTER>" or t == "<LEVEL>" and after in ("", " ", ":", "]", ")", "|", ">", "-", "/") or t == "<level>" and (after in (":", "]", ">") or before in ("[", "<")) or t in LETTERS and (before, after) in (("[", "]"), ("<", ">"), ("(", ")")):
-                level = i
-                break
-            if t in LETTERS and before == " " and after in (" ", "/") and "<TIME>" in tokens[:i]:
-                level = i
-                break
+    opening = next((t for t in tokens[:3] if t not in ("[", "(", "<", " ")), "")
+    stop = len(tokens) if opening in ("<TIME>", "<LEVEL>", "<level>", "<LETTER>") else _prose(tokens)
+    time = next((i for i, t in enumerate(tokens) if t == "<TIME>"), None)
+    keyed = _keyed(tokens[:stop], LEVEL_KEYS)
+    if keyed is not None and at(keyed) not in ("<LEVEL>", "<level>", *LETTERS):
+        keyed = None
+    level = None
+    for i, t in enumerate(tokens):
+        if i >= stop and t != "<LEVEL>":
+            continue
+        before, after = at(i - 1), at(i + 1)
+        if i == keyed or t == "<LETTER>" or t == "<LEVEL>" and after in ("", " ", ":", "]", ")", "|", ">", "-", "/") or t == "<level>" and (after in (":", "]", ">") or before in ("[", "<")) or t in LETTERS and (before, after) in (("[", "]"), ("<", ">"), ("(", ")")):
+            level = i
+            break
+        if t in LETTERS and before == " " and after in (" ", "/") and time is not None and time < i:
+            level = i
+            break
     if level is None:
         return None
-    time = _keyed(tokens, TIME_KEYS) if structured else None
-    if time is None or at(time) not in ("<TIME>", "<NUM>"):
-        time = next((i for i, t in enumerate(tokens[:HEADER]) if t == "<TIME>"), None)
+    stop = _prose(tokens, level + 1)
     names = ("<NAME>", *COMPONENT_KEYS, *MESSAGE_KEYS, *TIME_KEYS, *LEVEL_KEYS)
-    component = _keyed(tokens, COMPONENT_KEYS)
-    if component is None and not structured:
-        for i, t in enumerate(tokens[:HEADER]):
+    component = _keyed(tokens[:stop], COMPONENT_KEYS)
+    if component is None:
+        for i, t in enumerate(tokens[:stop]):
             if t not in names or i == level or not beside(i):
                 continue
             before, after = at(i - 1), at(i + 1)
@@ -151,63 +267,53 @@ def locate(tokens: tuple[str, ...]) -> Template | None:
                 break
     if time is None and component is None:
         return None
-    message = _keyed(tokens, MESSAGE_KEYS) if structured else None
-    end = max(x for x in (level, time, component) if x is not None) + 1
+    end = max(x for x in (level, time, component) if x is not None and (x != time or x < stop)) + 1  # a later time is the message's
     if component == end - 1 and (at(end), at(end + 1)) in ((":", "<NUM>"), ("[", "<NUM>")):
         end += 2  # the line number or process id goes with the component
     while end < len(tokens) and tokens[end] in (" ", ":", "]", ")", "|", ">", "-"):
         end += 1
-    return Template(tokens, level, time, component, message, end)
+    return Template(tokens[:end], level, time, component, end)
 
 
 class TemplateTree:
-    """Routes by header length and leading tokens; a leaf holds merged templates."""
+    """Routes headers by their length and leading tokens; a leaf holds one template for lines of equal header and fields."""
 
-    def __init__(self, depth: int = 4, similarity: float = 0.5, most_cached: int = 200_000):
-        self.depth, self.similarity, self.most_cached = depth, similarity, most_cached
-        self.leaves: dict[tuple, list[Template]] = {}
+    def __init__(self, depth: int = 4, most_cached: int = 200_000, longest_cached: int = 100):
+        self.depth, self.most_cached, self.longest_cached = depth, most_cached, longest_cached
+        self.leaves: dict[tuple, dict[tuple, Template]] = {}
         self.known: dict[tuple, Template | None] = {}
 
     def route(self, tokens: tuple[str, ...]) -> Template | None:
         if tokens in self.known:
-            found = self.known[tokens]
-        else:
-            found = self._insert(tokens)
+            return self.known[tokens]
+        new = locate(tokens)
+        found = None if new is None else self.shared(new)
+        if len(tokens) <= self.longest_cached:
             if len(self.known) >= self.most_cached:
                 self.known.clear()
+                self.leaves.clear()
             self.known[tokens] = found
-        if found is not None:
-            found.count += 1
         return found
 
-    def _insert(self, tokens: tuple[str, ...]) -> Template | None:
-        new = locate(tokens)
-        if new is None:
-            return None
-        head = tokens[: new.end]
-        leaf = self.leaves.setdefault((new.end, len(tokens), *tokens[: self.depth]), [])
-        for old in leaf:
-            same = [a == b for a, b in zip(old.tokens, tokens)]
-            if (old.level, old.time, old.component, old.message) == (new.level, new.time, new.component, new.message) and tuple(old.tokens[: old.end]) == head and sum(same) >= self.similarity * len(tokens):
-                old.tokens = [a if x else "<*>" for a, x in zip(old.tokens, same)]
-                return old
-        leaf.append(new)
-        return new
+    def shared(self, new: Template) -> Template:
+        leaf = self.leaves.setdefault((new.end, *new.tokens[: self.depth]), {})
+        return leaf.setdefault((*new.tokens, new.level, new.time, new.component), new)
 
 
 def _line_start(tree: TemplateTree, line: str):
-    """(template, matches) of a line's masked start, or None."""
-    matches = []
-    for m in TOKEN.finditer(line):
-        matches.append(m)
-        if len(matches) == MASKED:
-            break
+    """(template, spans of the line's tokens, span of a keyed message) of a line that starts an entry, or None."""
+    structured = _STRUCTURED.match(line)
+    if structured:
+        found = _structured(line)
+        if found or structured["lead"] is None:
+            return found
+    matches = list(TOKEN.finditer(line))
     template = tree.route(tuple(map(_mask, matches)))
-    return None if template is None else (template, matches)
+    return None if template is None else (template, [m.span() for m in matches], None)
 
 
-def entries(tree: TemplateTree, value: str) -> list[tuple[int, int, Template, list, list[str]]]:
-    """(first_line, last_line, template, matches, lines) of each entry of a value; lines count from 1."""
+def entries(tree: TemplateTree, value: str) -> list[tuple[int, int, Template, tuple, tuple[int, int]]]:
+    """(first_line, last_line, template, (spans, message), (begin, stop)) of each entry of a value; lines count from 1."""
     starts, seen = [], -1
     for m in CANDIDATE.finditer(value):
         if m.start() < seen:
@@ -230,21 +336,20 @@ def entries(tree: TemplateTree, value: str) -> list[tuple[int, int, Template, li
         at = begin
         numbered.append(line)
     last = value.rstrip().count("\n") + 1
-    for k, (begin, (template, matches)) in enumerate(starts):
+    for k, (begin, (template, spans, message)) in enumerate(starts):
         to = numbered[k + 1] - 1 if k + 1 < len(starts) else last
         stop = starts[k + 1][0] - 1 if k + 1 < len(starts) else len(value)
-        out.append((numbered[k], to, template, matches, (begin, stop)))
+        out.append((numbered[k], to, template, (spans[: max(template.end, template.time or 0) + 1], message), (begin, stop)))
     return out
 
 
-def _fields(template: Template, matches: list, text: str) -> tuple[str | None, str, str | None, str]:
+def _fields(template: Template, spans: list[tuple[int, int]], told: tuple[int, int] | None, text: str) -> tuple[str | None, str, str | None, str]:
     """(timestamp, level, component, message) of an entry's text."""
     first, _, more = text.partition("\n")
-    word = matches[template.level].group()
+    group = lambda i: None if i is None else first[slice(*spans[i])]
+    word = group(template.level)
     level = LETTERS.get(word) or NAMED[word.lower()]
-    time = None if template.time is None else matches[template.time].group()
-    component = None if template.component is None else matches[template.component].group()
-    message = None
+    time, component, message = group(template.time), group(template.component), None
     if first.startswith("{"):
         try:
             record = json.loads(first)
@@ -253,13 +358,10 @@ def _fields(template: Template, matches: list, text: str) -> tuple[str | None, s
             time, component, message = pick(TIME_KEYS) or time, pick(COMPONENT_KEYS) or component, pick(MESSAGE_KEYS)
         except ValueError:
             pass
-    if message is None and template.message is not None:
-        start = matches[template.message].start()
-        message = first[start:]
-        if start and first[start - 1] == '"':
-            message = re.match(r'(?:[^"\\]|\\.)*', message).group()
+    if message is None and told is not None:
+        message = first[slice(*told)]
     if message is None:
-        message = first[matches[template.end].start() :] if template.end < len(matches) else first[matches[template.end - 1].end() :] if template.end < MASKED else first
+        message = first[spans[template.end][0] :] if template.end < len(spans) else first[spans[template.end - 1][1] :]
     message = message.rstrip("\r")
     return time, level, component, message + ("\n" + more.rstrip() if more.strip() else "")
 
@@ -280,13 +382,13 @@ def _rows(events: DataFrame, with_fields: bool) -> DataFrame:
                 for row, value in enumerate(batch.column(2 + k).to_pylist()):
                     if not value:
                         continue
-                    for first, last, template, matches, (begin, stop) in entries(tree, value):
+                    for first, last, template, places, (begin, stop) in entries(tree, value):
                         at.append(row)
                         fields.append(field)
                         firsts.append(first)
                         lasts.append(last)
                         if with_fields:
-                            for column, x in zip(rest, (*_fields(template, matches, value[begin:stop]), "".join(template.tokens[: template.end]))):
+                            for column, x in zip(rest, (*_fields(template, *places, value[begin:stop]), "".join(template.tokens[: template.end]))):
                                 column.append(x)
             take = pa.array(at, pa.int64())
             columns = [trajectories.take(take), indexes.take(take), pa.array(fields, pa.string()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())]
