@@ -113,6 +113,15 @@ def test_inversion_is_exact(chain):
             assert mojibake.invert(bad, chain) == line
 
 
+def test_every_likely_chain_is_tried():
+    model = mojibake.Model.train([(line, 9) for line in CLEAN])
+    bad = mojibake.garble(CLEAN[0], (("utf-8", "cp1252"),))
+    model.classes = [None, *[(("utf-8", "ascii"),)] * 40, (("utf-8", "cp1252"),)]
+    model.weights = np.zeros((mojibake.SLOTS, 42))
+    model.weights[:, 0], model.weights[:, 41] = -9, -1  # the right chain comes last of those that beat clean text
+    assert model.restore(bad) == ((("utf-8", "cp1252"),), CLEAN[0])
+
+
 # ---- 3 -----------------------------------------------------------------------------------
 CALL = "trajectory_id string, call_index int, command string, monitoring_action boolean, started_at timestamp, ended_at timestamp, ingested_at timestamp, key string, prev string"
 

@@ -187,7 +187,7 @@ class Model:
         if text.isascii():
             return None, None
         s = self.weights[features(text)].sum(0)
-        better = [k for k in np.argsort(-s)[:24] if k and s[k] > s[0] + MARGIN]
+        better = [k for k in np.argsort(-s, kind="stable") if k and s[k] > s[0] + MARGIN]
         if LOST in text:
             return (self.classes[better[0]], None) if better else (None, None)
         best, found = self.likelihood(text) + MARGIN, (None, None)
