@@ -122,6 +122,19 @@ def test_every_likely_chain_is_tried():
     assert model.restore(bad) == ((("utf-8", "cp1252"),), CLEAN[0])
 
 
+def test_only_a_cut_is_no_loss():
+    lost = mojibake.LOST
+    assert mojibake.whole("ok\nword " + lost) == "ok\nword " and mojibake.whole("слово" + lost * 3) == "слово"
+    for value in ("ok\n" + lost * 69, "word " + lost * 4, lost, "ok\n" + lost, "a " + lost * 2 + " " + lost):
+        assert mojibake.whole(value) == value
+    model = mojibake.Model.train([(line, 9) for line in CLEAN])
+    repairer = mojibake.Repairer(model)
+    gone = "ok\n" + mojibake.garble("Запуск дошёл до шага", (("utf-8", "ascii"),)).replace(" ", "")
+    assert repairer.garbled(gone) and repairer.mend(gone)[1:] == (gone, 1)
+    bad = mojibake.garble(CLEAN[0], (("utf-8", "cp1252"),))
+    assert repairer.mend(bad + lost)[1:] == (CLEAN[0] + lost, 0)
+
+
 # ---- 3 -----------------------------------------------------------------------------------
 CALL = "trajectory_id string, call_index int, command string, monitoring_action boolean, started_at timestamp, ended_at timestamp, ingested_at timestamp, key string, prev string"
 

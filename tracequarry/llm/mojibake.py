@@ -16,7 +16,8 @@ model takes for garbled.
 
 Defined results
 * null, empty and ASCII-only values are no case (nothing in them tells of an encoding);
-* a replacement character at the very end of a value is a cut, not a wrong encoding;
+* up to three replacement characters at the very end of a value, with a readable word
+  before them on their line, are a cut and not a wrong encoding; they stay in the restored text;
 * an event that comes twice counts once.
 """
 
@@ -277,12 +278,21 @@ class Repairer:
                 lost += original is None
                 line = line if original is None else original
             out.append(line)
-        return sorted(used), "\n".join(out), lost
+        return sorted(used), "\n".join(out) + value[len(whole(value)) :], lost
+
+
+#: The replacement characters that a cut within a letter leaves, behind a readable word.
+_CUT = re.compile(f"(?<![{LOST}])[{LOST}]{{1,3}}$")
+_READABLE = re.compile(f"[^{LOST}]*[^\\W_][^{LOST}]*$")
 
 
 def whole(value: str) -> str:
-    """Without replacement characters at the end, which are the mark of a cut."""
-    return value.rstrip(LOST) if value.endswith(LOST) else value
+    """Without the mark of a cut at the end."""
+    cut = _CUT.search(value) if value.endswith(LOST) else None
+    if cut is None:
+        return value
+    before = value[value.rfind("\n", 0, cut.start()) + 1 : cut.start()].split()
+    return value[: cut.start()] if before and _READABLE.match(before[-1]) else value
 
 
 FOUND = "trajectory_id string, event_index int, field string"
