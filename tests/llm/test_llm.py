@@ -135,6 +135,20 @@ def test_only_a_cut_is_no_loss():
     assert repairer.mend(bad + lost)[1:] == (CLEAN[0] + lost, 0)
 
 
+def test_stretches_of_a_line():
+    model = mojibake.Model.train([(line, 9) for line in CLEAN] + [("✓ → café déjà", 9)])
+    repairer = mojibake.Repairer(model)
+    bad = lambda text, *wrong: mojibake.garble(text, tuple(("utf-8", w) for w in wrong))
+    for value, want in (
+        ("✓ déjà → " + bad("Prüfung läuft", "cp1252"), "✓ déjà → Prüfung läuft"),
+        ("✓" + bad("Prüfung", "cp1252") + " 5", "✓Prüfung 5"),
+        (bad("modèle dépassé", "cp1252") + " x " + bad("Запуск дошёл", "cp437"), "modèle dépassé x Запуск дошёл"),
+    ):
+        assert repairer.judge(value) == (None, False)
+        assert repairer.garbled(value) and repairer.mend(value)[1:] == (want, 0)
+    assert not any(repairer.garbled(line) for line in [*CLEAN, "✓ déjà → Prüfung läuft", "Größe: точность 学習"])
+
+
 # ---- 3 -----------------------------------------------------------------------------------
 CALL = "trajectory_id string, call_index int, command string, monitoring_action boolean, started_at timestamp, ended_at timestamp, ingested_at timestamp, key string, prev string"
 
