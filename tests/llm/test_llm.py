@@ -75,6 +75,11 @@ def test_reparameterised_questions(spark):
     assert [(r.event_index, r.item_id, r.field, r.first_word, r.n_changed) for r in got] == [(0, 1, "file_content", 1, 4)]
 
 
+def test_escapes_before_hexadecimal_letters():
+    assert leakage.words(r"he\u0027d \u201cBut, \u2014and \u003cbr \\u00e9cole") == "he d but and br cole".split()
+    assert leakage.words(r"\u{41}b \u{1F600}deed \U0001F600face \U00000041b \u00415 \x41b \101b") == "ab deed face ab a5 ab ab".split()
+
+
 # ---- 2 -----------------------------------------------------------------------------------
 CLEAN = ["Größe: {} · Länge: {} · Prüfung läuft", "La série {} a dépassé le modèle après {} étapes, c'était déjà prévu.", "Запуск {} дошёл до шага {}, точность составила.", "运行 {} 在第 {} 步达到准确率。", "学習率を {} に下げても損失は {} 変わらなかった。", "• {} – “clean” … costs €{}", "Não há memória suficiente para {} com {} avaliação."]
 
