@@ -1,9 +1,10 @@
 """Problem 4: schemas that drift between the files of a stream.
 
-Every file gets a versioned fingerprint of its fields and their types. A file's
+``file_versions`` gives a fingerprint of each file's fields and their types. A file's
 fields are compared with those of the file before it, which gives the explicit
-migration steps (renamed, removed, added, retyped). The steps then route each record
-through chained renames, defaults and casts into one table.
+migration steps (renamed, removed, added, retyped). The renames of all streams, joined
+into one map by name, then bring each record with defaults and casts into one table;
+where two names of a family stand in one record, one value is kept.
 
 Defined results
 * rows of one (log_stream, file_seq, line_no) count once; rows with a null among these
