@@ -122,3 +122,10 @@ def test_small_text_functions(spark):
     df = spark.createDataFrame([([("system", "s"), ("Human", "q"), ("gpt", "a")], ["x", "y"], [False, True])], "m array<struct<role:string,content:string>>, a array<string>, v array<boolean>")
     r = df.select(text.first_message(F.col("m"), "user").alias("u"), text.first_message(F.col("m"), "assistant").alias("g"), text.first_verified(F.col("a"), F.col("v")).alias("f")).collect()[0]
     assert (r.u, r.g, r.f) == ("q", "a", "y")
+
+
+def test_answers_that_agree(spark):
+    pairs = [(r"\dfrac12", r"\frac{1}{2}", True), ("x = 5", "5", True), ("1/2", "0.5", True), (".5", "0.5", True), (r"\frac1{23}", r"\frac{1}{23}", True), (r"90^\circ", "90", True), (r"50\%", "50.0", True),
+             ("5.0000001", "5", True), ("2.5", "2.6", False), ("03/4", r"\frac{3}{4}", False), ("a/b", "a/b", True), ("total = 5", "5", False), (None, "1", False), ("", "", True), (r"\frac", r"\frac", True)]
+    df = spark.createDataFrame(pairs, "a string, b string, want boolean")
+    assert [r for r in df.where(text.same_answer(F.col("a"), F.col("b")) != F.col("want")).collect()] == []
