@@ -42,12 +42,44 @@ def test_unreadable_and_empty(spark):
     assert prints["s", 0] == prints["s", 3] != prints["s", 1]
 
 
+def test_a_known_pair_needs_only_the_type(spark):
+    files = {(t, f): [f'{{"{n}": "{v}"}}'] for t in "ab" for f, n, v in ((0, "shots", 4), (1, "shotCount", 5))}
+    files |= {("c", 0): ['{"shots": "4"}'], ("c", 1): ['{"shotCount": "none"}']}
+    assert found(raw(spark, files)) == {(t, 1, "shots", "renamed") for t in "abc"}
+    beside = {("d", f): ['{"shots": "4", "shotCount": "4"}'] for f in range(9)}
+    assert found(raw(spark, files | beside)) == {("a", 1, "shots", "renamed"), ("b", 1, "shots", "renamed"), ("c", 1, "shots", "removed"), ("c", 1, "shotCount", "added")}
+
+
 def test_one_table(spark):
-    files = {("s", 0): ['{"stderr": 0.25, "n": 1}', '{"stderr": 0.5, "n": 2}', '{"stderr": 0.75}'], ("s", 1): ['{"stderr": "0.3", "n": 3}'], ("s", 2): ['{"std_error": "0.375", "n": 3}'], ("s", 3): ["no"]}
+    files = {("s", 0): ['{"stderr": 0.25, "n": 1}', '{"stderr": 0.5, "n": 2}', '{"stderr": 0.75}'], ("s", 1): ['{"stderr": "0.3", "n": 3}'], ("s", 2): ['{"std_error": "0.375", "n": "many"}'], ("s", 3): ["no"]}
     got = {(r.file_seq, r.line_no): r for r in schema_drift.consistent_table(raw(spark, files)).collect()}
-    assert (got[0, 1].stderr, got[1, 1].stderr, got[2, 1].stderr, got[3, 1].stderr) == ("0.25", "0.3", "0.375", None)
-    assert got[0, 1].rules == [] and got[1, 1].rules == ["cast stderr from string to decimal"] and got[3, 1].rules == ["unreadable"]
-    assert got[2, 1].rules == ["cast stderr from string to decimal", "rename std_error to stderr"]
+    assert (got[0, 1].stderr, got[1, 1].stderr, got[2, 1].stderr, got[3, 1].stderr) == (0.25, 0.3, 0.375, None)
+    assert got[0, 1].rules == [] and got[0, 3].rules == ["default n"] and got[1, 1].rules == ["cast stderr from string to decimal"] and got[3, 1].rules == ["unreadable"]
+    assert got[2, 1].rules == ["cast stderr from string to decimal", "cast_failed n from string to integer", "rename std_error to stderr"]
+    assert got[2, 1].n is None and got[2, 1].rejected == {"n": '"many"'} and got[0, 2].n == 2
+
+
+def test_two_names_of_a_family_stay_apart(spark):
+    files = {("a", 0): ['{"lr": 0.5}'], ("a", 1): ['{"learning": 0.5}'], ("b", 0): ['{"lr": 0.5, "learning": 0.9}'], ("b", 1): ['{"lr": 0.4, "learning": 0.8}'], ("c", 0): ['{"learning": 0.7}']}
+    got = {(r.log_stream, r.file_seq): (r.lr, r.learning) for r in schema_drift.consistent_table(raw(spark, files)).collect()}
+    assert got == {("a", 0): (0.5, None), ("a", 1): (0.5, None), ("b", 0): (0.5, 0.9), ("b", 1): (0.4, 0.8), ("c", 0): (0.7, None)}
+
+
+def test_chains_of_renames(spark):
+    names = ["n", "n_rows", "rows_n", "row_count", "rows"]
+    files = {("s", i): [f'{{"{n}": {20 + i}}}'] for i, n in enumerate(names)} | {("s", 9): ['{"rows": 25, "n": "a word of its own"}']}
+    rows = schema_drift.consistent_table(raw(spark, files)).collect()
+    # the last file holds two names of the family, so the stream's chain decides: all old names lead to rows
+    assert {r.file_seq: r.rows for r in rows} == {0: 20, 1: 21, 2: 22, 3: 23, 4: 24, 9: 25}
+    assert [r.n for r in rows if r.file_seq == 9] == ["a word of its own"] and all(r.n is None for r in rows if r.file_seq < 9)
+    versions = {r.file_seq: r.version for r in schema_drift.file_versions(raw(spark, files | {("s", 10): files["s", 9]})).collect()}
+    assert versions == {0: 1, 1: 2, 2: 3, 3: 4, 4: 5, 9: 6, 10: 6}
+
+
+def test_odd_names_and_nested_fields(spark):
+    files = {("s", 0): ['{"a.b": 1, "it\'s": true, "task_args": {"x": [1]}, "task_args.y": 2}', '{"a.b": null, "task_args": {"x": "word"}}']}
+    got = {r.line_no: r for r in schema_drift.consistent_table(raw(spark, files)).collect()}
+    assert got[1]["a.b"] == 1 and got[1]["it's"] is True and got[1]["task_args.x"] == "[1]" and got[2]["task_args.x"] == '["word"]'
 
 
 LOG = """lead in

@@ -20,6 +20,7 @@ def _training_data() -> dict[str, Query]:
     return {
         "p4_found": lambda s, d: changes(s, d).select("log_stream", "file_seq", "field", "change_kind"),
         "p4_changes": changes,
+        "p4_steps": lambda s, d: schema_drift.field_steps(table(s, d, "eval_log_raw")),
         "p4_versions": lambda s, d: schema_drift.file_versions(table(s, d, "eval_log_raw")),
         "p4_table": lambda s, d: schema_drift.consistent_table(table(s, d, "eval_log_raw")),
         "p7_found": lambda s, d: log_lines.entry_spans(table(s, d, "agent_event")),
@@ -32,5 +33,25 @@ def queries() -> dict[str, Query]:
     return {**_training_data(), **reference.queries()}
 
 
+_PROFILES = """
+raw AS (SELECT DISTINCT log_stream, file_seq, CASE WHEN json_valid(record) THEN record::JSON END AS j FROM eval_log_raw WHERE log_stream IS NOT NULL AND file_seq IS NOT NULL AND line_no IS NOT NULL),
+o AS (SELECT * FROM raw WHERE json_type(j) = 'OBJECT'),
+top AS (SELECT log_stream, file_seq, e.key AS field, e.value AS v FROM o, json_each(o.j) e),
+both_ AS (SELECT * FROM top UNION ALL SELECT log_stream, file_seq, 'task_args.' || e.key, e.value FROM (SELECT * FROM top WHERE field = 'task_args' AND json_type(v) = 'OBJECT') t, json_each(t.v) e),
+kinds AS (SELECT DISTINCT log_stream, file_seq, field, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'decimal' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' END AS kind FROM both_),
+held AS (SELECT log_stream, file_seq, field, coalesce(string_agg(kind, '|' ORDER BY kind), '') AS k FROM kinds GROUP BY 1, 2, 3),
+files AS (SELECT DISTINCT log_stream, file_seq FROM raw),
+seq AS (SELECT *, lag(file_seq) OVER (PARTITION BY log_stream ORDER BY file_seq) AS prev FROM files)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return reference.oracle_sql()
+    return {
+        **reference.oracle_sql(),
+        "p4_steps": f"""WITH {_PROFILES}, now AS (SELECT s.log_stream, s.file_seq, h.field, h.k FROM seq s JOIN held h USING (log_stream, file_seq) WHERE prev IS NOT NULL),
+then_ AS (SELECT s.log_stream, s.file_seq, h.field, h.k FROM seq s JOIN held h ON h.log_stream = s.log_stream AND h.file_seq = s.prev)
+SELECT log_stream, file_seq, field, CASE WHEN n.k IS NULL THEN 'gone' WHEN t.k IS NULL THEN 'come' ELSE 'retyped' END AS step FROM now n FULL JOIN then_ t USING (log_stream, file_seq, field)
+WHERE n.k IS NULL OR t.k IS NULL OR (n.k <> '' AND t.k <> '' AND n.k <> t.k)""",
+        "p4_versions": f"""WITH {_PROFILES}, prints AS (SELECT f.log_stream, f.file_seq, sha256(coalesce(string_agg(h.field || ':' || h.k, ',' ORDER BY h.field), '')) AS fingerprint, count(h.field) AS n_fields FROM files f LEFT JOIN held h USING (log_stream, file_seq) GROUP BY 1, 2),
+news AS (SELECT *, CASE WHEN lag(fingerprint) OVER w = fingerprint THEN 0 ELSE 1 END AS new FROM prints WINDOW w AS (PARTITION BY log_stream ORDER BY file_seq))
+SELECT log_stream, file_seq, CAST(sum(new) OVER (PARTITION BY log_stream ORDER BY file_seq) AS BIGINT) AS version, fingerprint, CAST(n_fields AS INTEGER) AS n_fields FROM news""",
+    }
