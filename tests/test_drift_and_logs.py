@@ -1,5 +1,9 @@
 """Schema drift and log lines: planted cases, and nulls, repeats, empty tables, clashing columns."""
 
+import itertools
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from tracequarry.operators import log_lines, schema_drift
@@ -147,3 +151,34 @@ def test_fields_far_into_the_line(spark):
     assert got[2].message == "cut off in the tail, so that it is no JSON"
     assert got[1].template == '{"msg": "<*>", "<NAME>": {"level": "<*>"}, "logger": "<NAME>", "ts": "<TIME>", "level": "<level>'
     assert log_lines.entry_spans(df).count() == 6
+
+
+def test_templates_decide_where_lines_differ(spark):
+    lines = [f"2026-02-02 03:23:{i:02d} | INFO | pool | worker {i} is up and well" for i in range(20)] + ["2026-02-02 03:24:00 | info | pool | worker is slow and late"]
+    lines += [f"2026-02-02 03:25:{i:02d},679 - engine - WARNING - step {i} of the run" for i in range(9)] + ["2026-02-02 03:26:00,679 - 42 - WARNING - no name was given"]
+    df = entries(spark, [("t", i, line, None, "x", 1) for i, line in enumerate(lines)])
+    got = {r.event_index: (r.level, r.component) for r in log_lines.log_entries(df).collect()}
+    assert got == {i: ("INFO", "pool") for i in range(21)} | {21 + i: ("WARNING", "engine") for i in range(9)} | {30: ("WARNING", "42")}
+    # alone, the odd lines give no entry, or none with a component: the tree decides
+    alone = {r.event_index: r.component for r in log_lines.log_entries(df.where("event_index in (20, 30)")).collect()}
+    assert alone == {30: None}
+    # and a line of the same leaf that has no severity in its place is no entry of that template
+    assert log_lines.TemplateTree(log_lines.templates(df)).route(tuple(map(log_lines._mask, log_lines.TOKEN.finditer("2026-02-02 03:24:00 | up | pool | worker is slow and late")))) is None
+
+
+@pytest.mark.parametrize("n", range(24))
+def test_keys_in_every_order(n):
+    record = {"ts": "2026-02-02T02:42:26.052Z", "logger": "a.b", "level": "ERROR", "msg": "a long text, of many words: level=debug and so on"}
+    keys = list(itertools.permutations(record))[n]
+    tree = log_lines.TemplateTree()
+    for line in (json.dumps({k: record[k] for k in keys}), json.dumps({"pid": 12, "host": "h", **{k: record[k] for k in keys}}), " ".join(f'{k}="{record[k]}"' for k in keys)):
+        [(first, last, template, places, _)] = log_lines.entries(tree, line)
+        assert log_lines._fields(template, *places, line) == (record["ts"], "ERROR", "a.b", record["msg"])
+
+
+def test_headers_of_many_tokens():
+    ranks = "".join(f"[rank {i}]" for i in range(30))
+    tree = log_lines.TemplateTree()
+    for line in (f"[2026-02-02 03:00:00]{ranks}[trainer] ERROR: broke", f"2026-02-02 03:00:00 app[12]: [request-id=a user=b tenant=c {ranks}] ERROR store: lost"):
+        [(_, _, template, places, _)] = log_lines.entries(tree, line)
+        assert template.end > 40 and log_lines._fields(template, *places, line)[:2] == ("2026-02-02 03:00:00", "ERROR")

@@ -1,8 +1,17 @@
 """Problem 7: semi-structured log lines into timestamp, level, component and message.
 
-A line's tokens are masked (times, levels, numbers and names become placeholders), and
-rules on the masked tokens say where the header ends and where its fields are. A
-fixed-depth template tree groups the headers: lines of equal header share a template.
+A line's tokens are masked (times, levels, numbers and names become placeholders). A
+fixed-depth tree over the whole corpus routes each header by its number of tokens and its
+leading tokens to a leaf of headers with the same delimiters, which are merged into one
+template: at each position the kind of token that most lines have, or a wildcard. The
+fields are looked for in the template, once, and its positions give those of its lines:
+a lower-case severity or a component that is a number is found where other lines of the
+layout tell what stands there. A line that the template does not fit (no severity in the
+level's place) is a template of its own.
+
+Templates are counted in Spark: workers emit (leaf, header, lines), votes are sums by leaf
+and position. Only leaves whose template moves a field of some header go to the workers;
+their number is checked. So every worker finds the same entries whatever it saw.
 
 Of JSON and key=value lines every key counts, wherever it stands; what stands within a
 quoted value is no key, and keys of inner objects count only where the outer has none.
@@ -10,9 +19,6 @@ Of a plain line, a time and a severity in capitals count anywhere; other severit
 where the line begins with a time or a severity, or else before prose begins (three words
 in a row, outside of brackets); the component before the prose that follows the severity.
 
-The header's extent and positions depend on the masked tokens alone, so every worker
-finds the same entries whatever it saw before.
-
 Defined results
 * null and blank values, and values without an entry, give no rows;
 * an entry's message is what follows the header on its first line, and its further lines;
@@ -275,29 +281,138 @@ def locate(tokens: tuple[str, ...]) -> Template | None:
     return Template(tokens[:end], level, time, component, end)
 
 
+#: Leading tokens that the tree routes by; share of a leaf's lines that decides a position.
+DEPTH, VOTE = 4, 0.6
+#: Headers of more tokens are templates of their own (no lines are left out for that).
+LONGEST = 256
+#: Leaves whose template moves a field: layouts are few; beyond this many they are refused.
+MAX_LEAVES = 100_000
+_CLOSERS, _OPENERS = (":", "[", "]", ")", "|", ">", "/"), ("-", "|", ">", "[", "(", "<", ":")
+SEVERITY = {"<LEVEL>", "<level>", "<LETTER>", *LETTERS}
+
+
+def _variable(token: str) -> bool:
+    return token[0] == "<" and len(token) > 1 or token[0].isalpha()
+
+
+def header(tokens: tuple[str, ...]) -> int:
+    """How many tokens of a masked plain line are its header: up to the message behind its first severity; 0 without one.
+
+    The message begins with the first word or number, outside of brackets, that no delimiter follows.
+    """
+    for kinds in (("<LEVEL>", "<LETTER>"), ("<level>",), tuple(LETTERS)):
+        level = next((i for i, t in enumerate(tokens) if t in kinds), None)
+        if level is not None:
+            break
+    else:
+        return 0
+    depth = 0
+    at = lambda i: tokens[i] if i < len(tokens) else ""
+    for i in range(level + 1, len(tokens)):
+        t = tokens[i]
+        if t in "([<" or t in ")]>":
+            depth = max(depth + (1 if t in "([<" else -1), 0)
+        elif not depth and t != "<TIME>" and _variable(t) and at(i + 1) not in _CLOSERS and not (at(i + 1) == " " and at(i + 2) in _OPENERS):
+            return i
+    return len(tokens)
+
+
+def leaf_of(head: tuple[str, ...]) -> str:
+    """The leaf of a header: number of tokens, leading tokens, delimiters."""
+    lead = ["<LEVEL>" if t == "<level>" else "<LETTER>" if t in LETTERS else t for t in head[:DEPTH]]
+    return "\t".join((str(len(head)), *lead, "".join("*" if _variable(t) else t for t in head[DEPTH:])))
+
+
 class TemplateTree:
-    """Routes headers by their length and leading tokens; a leaf holds one template for lines of equal header and fields."""
+    """Routes masked lines to the templates of the corpus, and these to fields.
+
+    templates: by leaf, the kind of token at each position, None for a wildcard.
+    """
 
-    def __init__(self, depth: int = 4, most_cached: int = 200_000, longest_cached: int = 100):
-        self.depth, self.most_cached, self.longest_cached = depth, most_cached, longest_cached
-        self.leaves: dict[tuple, dict[tuple, Template]] = {}
+    def __init__(self, templates: dict[str, list[str | None]] | None = None, most_cached: int = 200_000, longest_cached: int = 100):
+        self.templates, self.most_cached, self.longest_cached = templates or {}, most_cached, longest_cached
         self.known: dict[tuple, Template | None] = {}
 
     def route(self, tokens: tuple[str, ...]) -> Template | None:
         if tokens in self.known:
             return self.known[tokens]
-        new = locate(tokens)
-        found = None if new is None else self.shared(new)
+        found = self.by_template(tokens) or locate(tokens)
         if len(tokens) <= self.longest_cached:
             if len(self.known) >= self.most_cached:
                 self.known.clear()
-                self.leaves.clear()
             self.known[tokens] = found
         return found
 
-    def shared(self, new: Template) -> Template:
-        leaf = self.leaves.setdefault((new.end, *new.tokens[: self.depth]), {})
-        return leaf.setdefault((*new.tokens, new.level, new.time, new.component), new)
+    def by_template(self, tokens: tuple[str, ...]) -> Template | None:
+        """The fields by the template of the line's leaf, if there is one and the line fits it."""
+        n = header(tokens) if self.templates else 0
+        merged = self.templates.get(leaf_of(tokens[:n])) if n else None
+        if merged is None:
+            return None
+        return fields_by(tuple(m or t for m, t in zip(merged, tokens)) + tokens[n:], tokens)
+
+
+def fields_by(template: tuple[str, ...], tokens: tuple[str, ...]) -> Template | None:
+    """The fields of a template, if the line has a severity and a time in their places."""
+    found = locate(template)
+    if found is None or tokens[found.level] not in SEVERITY or found.time is not None and tokens[found.time] != "<TIME>":
+        return None
+    return found
+
+
+def _plain_lines(value: str) -> Iterator[str]:
+    """The unindented candidate lines of a value that are neither JSON nor key=value."""
+    for begin, stop in _candidates(value):
+        line = value[begin:stop]
+        structured = _STRUCTURED.match(line)
+        if structured is None or structured["lead"] is not None and _structured(line) is None:
+            yield line
+
+
+def mined(kept: DataFrame) -> DataFrame:
+    """(leaf, header, n): every masked header of the corpus with its number of lines."""
+
+    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[tuple, int] = {}
+            for k in range(len(FIELDS)):
+                for value in batch.column(k).to_pylist():
+                    for line in _plain_lines(value) if value else ():
+                        tokens = tuple(_mask(m) for m in TOKEN.finditer(line))
+                        n = header(tokens)
+                        if 0 < n <= LONGEST:
+                            counts[tokens[:n]] = counts.get(tokens[:n], 0) + 1
+            heads = list(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([leaf_of(h) for h in heads], pa.string()), pa.array([list(h) for h in heads], pa.list_(pa.string())), pa.array([counts[h] for h in heads], pa.int64())], ["leaf", "header", "n"])
+
+    return kept.select(*FIELDS).mapInArrow(mine, "leaf string, header array<string>, n bigint").groupBy("leaf", "header").agg(F.sum("n").alias("n"))
+
+
+def templates(kept: DataFrame) -> dict[str, list[str | None]]:
+    """The merged templates by leaf, of leaves where a template moves a field of some header."""
+    heads = mined(kept)
+    votes = heads.select("leaf", "n", F.posexplode("header").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"))
+    most = votes.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("m"), F.sum("n").alias("all"))
+    decided = F.when(F.col("m.n") >= VOTE * F.col("all"), F.col("m.token"))
+    merged = most.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", decided.alias("token")))).alias("t"))  # as long as a header
+    merged = merged.select("leaf", F.col("t.token").alias("template"))
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = lambda x: x and (x.level, x.time, x.component)
+        for batch in batches:
+            keep = []
+            for i, (head, template) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                own = tuple(head)
+                found = fields_by(tuple(m or t for m, t in zip(template, own)), own)
+                if found is not None and places(found) != places(locate(own)):
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    differ = heads.join(merged, "leaf").where("header <> template").select("leaf", "header", "template")
+    found = differ.mapInArrow(moved, differ.schema).select("leaf", "template").distinct().limit(MAX_LEAVES + 1).collect()
+    if len(found) > MAX_LEAVES:
+        raise ValueError(f"more than {MAX_LEAVES} layouts of log lines")
+    return {r.leaf: list(r.template) for r in found}
 
 
 def _line_start(tree: TemplateTree, line: str):
@@ -312,9 +427,9 @@ def _line_start(tree: TemplateTree, line: str):
     return None if template is None else (template, [m.span() for m in matches], None)
 
 
-def entries(tree: TemplateTree, value: str) -> list[tuple[int, int, Template, tuple, tuple[int, int]]]:
-    """(first_line, last_line, template, (spans, message), (begin, stop)) of each entry of a value; lines count from 1."""
-    starts, seen = [], -1
+def _candidates(value: str) -> Iterator[tuple[int, int]]:
+    """(begin, stop) of the unindented lines that may hold a severity."""
+    seen = -1
     for m in CANDIDATE.finditer(value):
         if m.start() < seen:
             continue
@@ -322,8 +437,14 @@ def entries(tree: TemplateTree, value: str) -> list[tuple[int, int, Template, tu
         stop = value.find("\n", begin)
         stop = len(value) if stop < 0 else stop
         seen = stop
-        if value[begin].isspace():
-            continue
+        if not value[begin].isspace():
+            yield begin, stop
+
+
+def entries(tree: TemplateTree, value: str) -> list[tuple[int, int, Template, tuple, tuple[int, int]]]:
+    """(first_line, last_line, template, (spans, message), (begin, stop)) of each entry of a value; lines count from 1."""
+    starts = []
+    for begin, stop in _candidates(value):
         found = _line_start(tree, value[begin:stop])
         if found:
             starts.append((begin, found))
@@ -372,9 +493,10 @@ ENTRIES = SPANS + ", timestamp string, level string, component string, message s
 
 def _rows(events: DataFrame, with_fields: bool) -> DataFrame:
     kept = events.select("trajectory_id", "event_index", *FIELDS).where(" or ".join(f"{c} is not null" for c in FIELDS))
+    learned = templates(kept)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = TemplateTree()
+        tree = TemplateTree(learned)
         for batch in batches:
             trajectories, indexes = batch.column(0), batch.column(1)
             at, fields, firsts, lasts, rest = [], [], [], [], [[] for _ in range(5)]
@@ -412,5 +534,5 @@ def log_entries(events: DataFrame) -> DataFrame:
 
 
 def log_templates(events: DataFrame) -> DataFrame:
-    """(template, n_entries, n_levels): the layouts found, by their masked header."""
+    """(template, n_entries, n_levels): the layouts found, by their header as merged."""
     return log_entries(events).groupBy("template").agg(F.count("*").alias("n_entries"), F.count_distinct("level").alias("n_levels"))
