@@ -39,7 +39,8 @@ def test_leaks_in_any_dress(spark):
     df = events(spark, rows)
     want = {("t", 0, 1), ("t", 1, 1), ("t", 2, 1), ("t", 3, 1), ("t", 7, 1), ("t", 7, 2)}
     assert {tuple(r) for r in leakage.leaked_items(df, items(spark)).collect()} == want
-    assert {tuple(r) for r in leakage.leaked_items(df, items(spark), block=1).collect()} == want  # blocks of items
+    each = [leakage.leaked_items(df, items(spark).where(f"item_id = {i}")).collect() for i in (1, 2)]
+    assert {tuple(r) for rows in each for r in rows} == want  # it does not matter which items come together
     assert leakage.leaked_items(df, items(spark).where("item_id > 9")).count() == 0
     assert leakage.leaked_items(df.where("event_index > 99"), items(spark)).count() == 0
 
@@ -70,9 +71,40 @@ def test_leaks_meet_brute_force(spark):
 def test_reparameterised_questions(spark):
     other = ITEM.replace("503", "77").replace("19", "4").replace("Mafenmawick", "Zelltown").replace("Dorsel", "Anke")
     broken = ITEM.replace("503", "5")  # two slots of the item would share one value: no one-to-one map
-    df = events(spark, [{"trajectory_id": "t", "event_index": 0, "file_content": "x " + other}, {"trajectory_id": "t", "event_index": 1, "command": broken}, {"trajectory_id": "t", "event_index": 2, "command": ITEM}])
-    got = leakage.reparameterised_items(df, items(spark)).collect()
-    assert [(r.event_index, r.item_id, r.field, r.first_word, r.n_changed) for r in got] == [(0, 1, "file_content", 1, 4)]
+    twice = other + " And now " + other.replace("77", "78").replace("Anke", "Lou")
+    df = events(spark, [{"trajectory_id": "t", "event_index": 0, "file_content": "x " + other}, {"trajectory_id": "t", "event_index": 1, "command": broken}, {"trajectory_id": "t", "event_index": 2, "command": ITEM}, {"trajectory_id": "t", "event_index": 3, "command": twice}])
+    got = leakage.reparameterised_items(df, items(spark)).orderBy("event_index").collect()
+    assert [(r.event_index, r.item_id, r.field, r.first_token, r.n_changed) for r in got] == [(0, 1, "file_content", 1, 4), (3, 1, "command", 0, 4)]
+    assert leakage.reparameterised_items(df, items(spark).where("item_id > 9")).count() == 0 and leakage.reparameterised_items(df.where("event_index > 9"), items(spark)).count() == 0
+
+
+def questions(n):
+    """Items of words of their own, and each with other names, numbers and units: whole, in part, with a word more or less."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(3))
+    out = []
+    for i in range(n):
+        w = [word() for _ in range(30)]
+        shape = f"{{A}} {' '.join(w[:6])} {{x}} {w[6]} for {{y}} {{u}} in {{B}}. {{C}} {' '.join(w[7:12])} the {w[12]} with {{z}} {' '.join(w[13:19])}. How many {' '.join(w[19:25])} does {{A}} keep {w[25]} {{x}} {w[26]}?"
+        fill = lambda k: dict(zip("ABCxyzu", [word().title(), word().title(), word().title(), *rnd.sample(range(3, 999), 2), f"{k}.5" if k else "4", ("dollars", "euros")[k]]))
+        item, other = shape.format(**fill(0)), shape.format(**fill(1))
+        ws = other.split()
+        out.append((item, [other, " ".join(ws[9:]), " ".join(ws[:-8]), " ".join(ws[:20] + ws[21:]), " ".join(ws[:16] + ["well"] + ws[16:])][i % 5]))
+    return out
+
+
+def test_reparameterised_questions_are_recalled(spark):
+    own = questions(60) + [("On friday Mark and rose will mark the rows that sam, or nora, left behind in the old red barn.", "Nothing of that kind stands here at all, on no friday, and nobody ever wrote it down.")]
+    df = events(spark, [{"trajectory_id": "t", "event_index": i, "file_content": f"# {i}\nprompt = '{other}'"} for i, (_, other) in enumerate(own)])
+    all_items = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(own)], "item_id long, text string")
+    got = {(r.event_index, r.item_id) for r in leakage.reparameterised_items(df, all_items).collect()}
+    assert all(a == b for a, b in got) and len(got) >= 0.9 * 60
+    for part in (all_items.where("item_id = 7"), all_items.where("item_id in (7, 60)")):
+        assert {(r.event_index, r.item_id) for r in leakage.reparameterised_items(df, part).collect()} == got & {(7, 7)}
+    copies = events(spark, [{"trajectory_id": "t", "event_index": i, "command": " ".join(item.split()[i % 9 : 30 + i % 9])} for i, (item, _) in enumerate(own[:60])])
+    found = {(r.event_index, r.item_id) for r in leakage.leaked_items(copies, all_items).collect()}
+    assert found == {(i, i) for i in range(60)}
+    assert leakage.reparameterised_items(copies, all_items).count() == 0
 
 
 def test_escapes_before_hexadecimal_letters():
