@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.session import cut_lineage
+
 FIELDS = ("command_output", "text")
 #: Severities by their uniform name (fixed values).
 LEVELS = {
@@ -390,7 +392,7 @@ def mined(kept: DataFrame) -> DataFrame:
 
 def templates(kept: DataFrame) -> dict[str, list[str | None]]:
     """The merged templates by leaf, of leaves where a template moves a field of some header."""
-    heads = mined(kept)
+    heads = cut_lineage(mined(kept))  # as many rows as there are headers; read twice
     votes = heads.select("leaf", "n", F.posexplode("header").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"))
     most = votes.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("m"), F.sum("n").alias("all"))
     decided = F.when(F.col("m.n") >= VOTE * F.col("all"), F.col("m.token"))
