@@ -2,9 +2,11 @@
 
 A multinomial classifier on hashed byte bigrams predicts the exact chain of encodings by
 which a line was garbled. It is trained here: clean lines of the corpus are garbled by
-every chain of ``chains()``. A predicted chain is inverted; only if every step encodes
-and decodes strictly, and the classifier takes the result for clean text, is the line
-restored. What was garbled with loss (replacement characters) can only be reported.
+every chain of ``chains()``. Every chain that the classifier prefers to clean text is
+inverted; of those whose every step encodes and decodes strictly, and whose result is
+likelier clean text than the line, the one with the greatest likelihood is predicted: the
+classifier's, of the line given the chain, times that of the result as clean text. What
+was garbled with loss (replacement characters) can only be reported.
 
 The unit is the line, as often only a stretch of a value was garbled; of a line only the
 words with non-ASCII letters count. Where no chain inverts a whole line, its runs of words
@@ -48,8 +50,8 @@ MARGIN = 3.0
 #: Marks that stand beside any letter in clean text (fixed values), and their weight as seeds.
 TYPOGRAPHY = "…–—‘’“”„•·°€£§©®™±×÷≈≤≥→←↑↓✓✗«»¿¡№"
 TYPOGRAPHY_WEIGHT = 20
-#: Characters of a line that the training looks at.
-MOST_CORE = 400
+#: Longer lines are several pieces, of whole words and about so many characters, when training lines are counted.
+PIECE = 400
 LOST = "�"
 #: Encodings by script (fixed values): text of the script is written in the first, read in the second.
 READ_UTF8 = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866", "gbk", "big5", "cp932", "euc_kr", "cp1250", "iso8859_15", "ascii")
@@ -187,9 +189,10 @@ class Model:
     def restore(self, text: str) -> tuple[Chain | None, str | None]:
         """(chain, original): no chain for clean text, no original where it can't be had.
 
-        Of the chains that explain the text better than clean text does, the one is taken
-        whose strict inversion is the likeliest clean text; it must be likelier than the
-        text as it stands. A text with replacement characters can't be inverted.
+        Of the chains that explain the text better than clean text does, and whose strict
+        inversion is likelier clean text than the text as it stands, the one is taken that
+        explains it best: by the classifier and by how likely a clean text its inversion is.
+        A text with replacement characters can't be inverted.
         """
         if text.isascii():
             return None, None
@@ -197,15 +200,15 @@ class Model:
         better = [k for k in np.argsort(-s, kind="stable") if k and s[k] > s[0] + MARGIN]
         if LOST in text:
             return (self.classes[better[0]], None) if better else (None, None)
-        best, found = self.likelihood(text) + MARGIN, (None, None)
+        least, best, found = self.likelihood(text) + MARGIN, -np.inf, (None, None)
         for k in better:
             original = invert(text, self.classes[k])
             if original is not None and LOST in original and found[0] is None:
                 found = self.classes[k], None  # a replacement character was garbled again: the loss lies further back
             elif original is not None and original != text and LOST not in original:
                 clean = self.likelihood(original)
-                if clean > best:
-                    best, found = clean, (self.classes[k], original)
+                if clean > least and clean + s[k] > best:
+                    best, found = clean + s[k], (self.classes[k], original)
         return found
 
     def telling(self) -> np.ndarray:
@@ -283,6 +286,16 @@ def core(line: str) -> str:
     return " ".join(re.sub("[0-9]+", "0", w) for w in re.split("[ \\t\\r]+", line) if not w.isascii())
 
 
+def pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """A core in pieces of whole words, each of `size` characters or a little more."""
+    at = 0
+    while at < len(text):
+        stop = text.find(" ", at + size)
+        stop = len(text) if stop < 0 else stop
+        yield text[at:stop]
+        at = stop + 1
+
+
 def _other(c: str) -> str:
     return f"{c} rlike '[^\\\\x00-\\\\x7F]'"
 
@@ -303,8 +316,8 @@ def train(events: DataFrame, sample: int = SAMPLE) -> Model | None:
                 for value in batch.column(k).to_pylist():
                     for line in (value or "").split("\n"):
                         if not line.isascii():
-                            c = core(line)[:MOST_CORE]
-                            found[c] = found.get(c, 0) + 1
+                            for c in pieces(core(line)):
+                                found[c] = found.get(c, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["core", "n"])
 
     counted = _candidates(events).select(*FIELDS).mapInArrow(cores, "core string, n bigint").groupBy("core").agg(F.sum("n").alias("n"))
