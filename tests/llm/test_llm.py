@@ -384,3 +384,28 @@ def test_long_lines_are_counted_in_pieces():
     got = list(mojibake.pieces(text))
     assert " ".join(got) == text and all(400 <= len(p) < 420 for p in got[:-1]) and list(mojibake.pieces("")) == []
     assert list(mojibake.pieces("x" * 900)) == ["x" * 900]
+
+
+def test_every_limit_counts(spark):
+    rnd = random.Random(4)
+    rows = []
+    for k, limit in enumerate((400, 470, 540, 610)):  # four limits of one source: none is dropped
+        for i in range(12):
+            body = " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) + str(rnd.randint(1, 99)) for _ in range(200))
+            rows.append({"trajectory_id": f"l{k}", "event_index": i, "source_format": "src", "text": body[:limit]})
+    rows += [{"trajectory_id": "w", "event_index": i, "source_format": "src", "text": "w" * rnd.randint(1, 300) + " end."} for i in range(2000)]
+    limits, totals = truncation.field_limits(events(spark, rows))
+    assert limits["src", "text"][0] == {400, 470, 540, 610} and totals["src", "text"] == len(rows)
+
+
+def test_the_score_decides(spark):
+    rows, _ = cut_corpus()
+    df = events(spark, rows)
+    model = truncation.train(df)
+    full = ("The evaluator queued checkpoint-7 after the restart and answered with 0.123.\n" * 9)[:500]
+    whole = "\n".join(["All checks passed."] * 40)
+    whole = whole[-500:] if len(whole) > 500 else whole
+    for value in (full, whole, "step 5 | loss 0.5\nOK...[truncated]"):
+        assert model.score(value, "src", "command_output") > truncation.THRESHOLD
+    again = truncation.train(df.repartition(7))
+    assert np.array_equal(model.weights, again.weights)  # however the rows lie
