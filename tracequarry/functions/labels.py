@@ -152,6 +152,27 @@ def name_signature_sql(command: str) -> str:
         ELSE 'objective_unknown' END"""
 
 
+def objective_signature_sql(command: str, script: str) -> str:
+    """The signature by code, else by script name."""
+    names = f"array_to_string({launched_scripts_sql(command)}, ' ')"
+    code = f"lower(coalesce({script}, ''))"
+    found = lambda w: f"(contains({code}, '{w}') OR coalesce(contains({names}, '{w}'), false))"
+    return f"""CASE {chain_sql(CODE_OBJECTIVES, code, None)} WHEN 'distillation' THEN 'on_policy_distillation'
+        WHEN 'preference' THEN CASE WHEN contains({code}, 'dpotrainer') OR coalesce(contains({names}, 'dpo'), false) THEN 'preference_dpo' ELSE 'preference_other' END
+        WHEN 'reward' THEN CASE WHEN {found('grpo')} THEN 'reward_grpo' WHEN {found('ppo')} THEN 'reward_ppo' WHEN {found('rloo')} THEN 'reward_rloo' ELSE 'reward_other' END
+        WHEN 'supervised_likelihood' THEN 'supervised_likelihood' ELSE {name_signature_sql(command)} END"""
+
+
+def objective_confidence_sql(command: str, script: str) -> str:
+    names = f"array_to_string({launched_scripts_sql(command)}, ' ')"
+    code = f"lower(coalesce({script}, ''))"
+    return f"CASE WHEN {chain_sql(CODE_OBJECTIVES, code, None)} IS NOT NULL THEN 'high' WHEN {chain_sql(NAME_OBJECTIVES, names, None)} IS NOT NULL THEN 'medium' ELSE 'none' END"
+
+
+def form_sql(signature: str) -> str:
+    return f"CASE {signature} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FORM.items()) + " END"
+
+
 # ---- fixed values: where data and weights come from -------------------------------------
 SELF_MADE = r"(?i)(?:rejection[_\- ]?(?:sampl|filter)|best[_\- ]?of[_\- ]?n|self[_\- ]?(?:instruct|gen|generated|distill)|synthetic[_\- ]?(?:data|examples|dataset)|model[_\- ]?generated|generated[_\- ]?(?:data|dataset|solutions|responses|samples|completions)|teacher[_\- ]?(?:gen|generated|output|response|data)|distill(?:ation)?[_\- ]?(?:data|dataset)|rft[_\- ]?data|star[_\- ]?data|sampled[_\- ]?(?:solutions|responses|completions|answers)|correct[_\- ]?(?:samples|generations|solutions)\.(?:jsonl|json|parquet))"
 GENERATES = r"(?i)(?:vllm|sglang|\.generate\s*\(|generate_(?:data|solutions|responses|samples)|sample_(?:solutions|responses|completions)|do_sample\s*=\s*True|best_of)"
@@ -208,6 +229,14 @@ def data_source(form: Column, script: Column, has_self: Column, has_curated: Col
     )
 
 
+def data_source_sql(form: str, script: str, has_self: str, has_curated: str) -> str:
+    text = f"coalesce({script}, '')"
+    own = f"(len(list_filter({data_files_sql(text)}, lambda f: regexp_matches(f, {literal(SELF_MADE)}))) > 0 OR regexp_matches({text}, {literal(SELF_MADE)}) OR {has_self})"
+    curated = f"(regexp_matches({text}, {literal(CURATED)}) OR {has_curated})"
+    return f"""CASE WHEN {form} IN ('reward_optimization', 'on_policy_distillation') THEN 'on_policy_inherent' WHEN {form} NOT IN ('supervised_likelihood', 'preference_optimization') THEN 'not_applicable'
+        WHEN {own} AND {curated} THEN 'mixed' WHEN {own} THEN 'self_generated' WHEN {curated} THEN 'curated' ELSE 'unknown' END"""
+
+
 # ---- fixed values: v1 commands ---------------------------------------------------------
 V1_TRAIN = r"(?i)(?:train|finetun|fine[-_ ]?tune|sft|grpo|ppo|dpo|rlhf|preference|accelerate\s+launch|torchrun|deepspeed)"
 V1_EVAL = r"(?i)(?:evaluate|evaluation|eval\.py|run_eval|score|lm_eval)"

@@ -136,16 +136,20 @@ def seeded_top(df: DataFrame, keys: Sequence[str], identity: str, seed: int, n:
     return few.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= n).select(*df.columns)
 
 
+def last_k(df: DataFrame, keys: Sequence[str], position: str, k: int) -> DataFrame:
+    """The last k rows of each key by a unique position: k of each salted part first, so a long key never meets in one place."""
+    part = Window.partitionBy(*keys, "_salt").orderBy(F.desc(position))
+    whole = Window.partitionBy(*keys).orderBy(F.desc(position))
+    few = df.withColumn("_salt", F.pmod(F.xxhash64(position), F.lit(64))).withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= k)
+    return few.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= k).select(*df.columns)
+
+
 def last_k_text(df: DataFrame, keys: Sequence[str], position: str, text: str, k: int, most: int, name: str) -> DataFrame:
     """The last k texts of each key in order, joined by line breaks, cut to the last `most` characters.
 
-    k rows of each salted part first, so a long key never meets in one place.
+    Positions are ranked first; only the texts of the last k are fetched by their key.
     """
-    salted = df.select(*keys, position, text).withColumn("_salt", F.pmod(F.xxhash64(position), F.lit(64)))
-    part = Window.partitionBy(*keys, "_salt").orderBy(F.desc(position))
-    whole = Window.partitionBy(*keys).orderBy(F.desc(position))
-    few = salted.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= k)
-    few = few.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= k)
+    few = last_k(df.select(*keys, position), keys, position, k).join(df.select(*keys, position, text), [*keys, position])
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, text))), lambda x: x[text]), "\n")
     return few.groupBy(*keys).agg(F.right(joined, F.lit(most)).alias(name))
 

@@ -59,13 +59,13 @@ def _pairs(s, d):
 
 
 @query(f"WITH {_PAIRS} SELECT user_id % 5 AS harness, count(*) AS pairs, count_if(before <> event_type) AS changes, count_if(before <> event_type) / count(*) AS change_rate FROM p GROUP BY 1")
-def objective_change_rate(s, d):
+def event_change_rate(s, d):
     pairs = _pairs(s, d).groupBy((F.col("user_id") % 5).alias("harness")).agg(F.count("*").alias("pairs"), F.count_if("changed").alias("changes"))
     return pairs.withColumn("change_rate", F.try_divide("changes", "pairs"))
 
 
 @query(f"WITH {_PAIRS} SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS transition_index, before AS from_value, event_type AS to_value, before_id AS from_position, event_id AS to_position, before <> event_type AS changed FROM p")
-def objective_transitions(s, d):
+def event_transitions(s, d):
     return _pairs(s, d)
 
 
@@ -223,41 +223,11 @@ def last_k_context(s, d):
     return ctx.select("trajectory_id", F.md5("context").alias("context_hash"), F.length("context").alias("n_chars"))
 
 
-def objective_contexts(s, d):
-    """Training calls with the latest sources, at or before the launch, of the scripts they launch.
-
-    Sources meet launches on (trajectory, script name): the script's own path, or any
-    script name that a writing source mentions. Then the last eight by event, cut to the end.
-    """
-    launches = _calls(s, d).where("training_launched").select("trajectory_id", "call_index", F.col("event_index").alias("launch"), "command")
-    target = launches.select("trajectory_id", "call_index", "launch", F.explode(F.array_distinct(labels.launched_scripts(F.col("command")))).alias("script"))
-    e = table(s, d, "agent_event").select("trajectory_id", "event_index", "file_path", "file_content", "command", "text")
-    source = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("file_content", "command", "text")])
-    writes = F.col("file_path").isNotNull() | F.col("source").rlike(r"(?i)(?:cat|tee|printf|echo)\s+[^\n]*(?:>|>>)|apply_patch|filePath|newString|new_text")
-    e = e.withColumn("source", source).where("source is not null").withColumn("writes", writes)
-    mentioned = F.regexp_extract_all(F.lower("source"), F.lit(r"([\w.-]+\.(?:py|sh))"), F.lit(1))
-    named = F.array_distinct(F.concat(F.when(F.col("writes"), mentioned).otherwise(F.array().cast("array<string>")), F.array_compact(F.array(_base(F.col("file_path"))))))
-    by_script = e.select("trajectory_id", "event_index", "source", F.explode(named).alias("script")).groupBy("trajectory_id", "script", "event_index").agg(F.max("source").alias("source"))
-    # number the sources of a script; a launch takes the eight up to its latest one: no launch meets all sources
-    keys = ["trajectory_id", "script"]
-    sources = ordered.numbered(by_script, keys, "event_index", "k")
-    latest = ordered.asof_backward(target.withColumnRenamed("launch", "event_index"), sources.select(*keys, "event_index", "k"), keys, "event_index", ["k"]).where("k is not null")
-    wanted = latest.select(*keys, "call_index", F.explode(F.sequence(F.greatest(F.col("k") - 7, F.lit(0)), F.col("k"))).alias("k"))
-    met = wanted.join(sources, [*keys, "k"]).select("trajectory_id", "call_index", "event_index", "source").distinct()
-    context = ordered.last_k_text(met, ["trajectory_id", "call_index"], "event_index", "source", 8, 400_000, "context")
-    return launches.join(context, ["trajectory_id", "call_index"], "left")
-
-
-@query(None)
-def objective_episodes(s, d):
-    o = labels.objective(F.col("command"), F.col("context"))
-    return objective_contexts(s, d).select("trajectory_id", "call_index", o.alias("o")).select("trajectory_id", "call_index", "o.form", "o.signature", "o.confidence")
-
-
+#: Words of a plan (fixed value).
 _PLANS = r"(?:plan|approach|strategy|we will|i will|try|train|fine[- ]?tun|experiment|iteration|switch|instead|next)"
-_PROPOSED = f"""{_EV}, pr AS (SELECT trajectory_id, event_index, {labels.chain_sql(labels.FAMILIES, "lower(coalesce(command, '') || ' ' || coalesce(text, ''))", None)} AS family FROM e
+_PROPOSED = f"""{_EV}, pr AS (SELECT trajectory_id, event_index, {labels.strategy_family_sql("command", "text", "split_part(" + labels.action_sql('command') + ", '/', 1)")} AS family FROM e
   WHERE event_type IN ('assistant_text', 'reasoning') AND regexp_matches(lower(coalesce(text, '') || ' ' || coalesce(command, '')), {literal(_PLANS)}) AND length(coalesce(text, '') || ' ' || coalesce(command, '')) >= 30),
-proposal AS (SELECT * FROM pr WHERE family IS NOT NULL)"""
+proposal AS (SELECT * FROM pr WHERE family NOT IN ('other_unknown', 'no_parameter_update'))"""
 
 
 def _proposals(s, d):
@@ -265,8 +235,9 @@ def _proposals(s, d):
     e = table(s, d, "agent_event").select("trajectory_id", "event_index", "event_type", "text", "command").where(F.col("event_type").isin("assistant_text", "reasoning"))
     said = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("command", F.lit("")))
     own = e.where(F.lower(said).rlike(_PLANS) & (F.length(said) >= 30))
-    words = F.lower(F.concat(F.coalesce("command", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))))
-    return own.select("trajectory_id", "event_index", labels.chain(labels.FAMILIES, words, None).alias("family")).where("family is not null")
+    category = F.split(labels.action(F.col("command")), "/")[0]
+    family = labels.strategy_family(F.col("command"), F.col("text"), category)
+    return own.select("trajectory_id", "event_index", family.alias("family")).where(~F.col("family").isin("other_unknown", "no_parameter_update"))
 
 
 @query(f"""WITH {_PROPOSED}, {_CALLS}, l AS (SELECT trajectory_id, call_index, event_index, {_FAMILY} AS family FROM c WHERE action_category IN {_IN})
@@ -278,20 +249,6 @@ def asof_proposal_by_family(s, d):
     return ordered.asof_backward(own, marks, ["trajectory_id", "family"], "event_index", ["proposed_at"]).drop("event_index")
 
 
-@query(None)
-def data_source_labels(s, d):
-    """Where each launch's training data comes from: its script, and the marks of its files at or before the launch."""
-    ctx = objective_contexts(s, d).withColumn("source", F.concat_ws("\n", "command", "context"))
-    files = ctx.select("trajectory_id", "call_index", F.col("launch").alias("event_index"), F.explode(labels.data_files(F.col("source"))).alias("f")).select("trajectory_id", "call_index", "event_index", _base(F.col("f")).alias("file"))
-    marked = ordered.asof_backward(files, _provenance(s, d), ["trajectory_id", "file"], "event_index", ["kind"])
-    flags = marked.groupBy("trajectory_id", "call_index").agg(F.max(F.col("kind") == "self").alias("self"), F.max(F.col("kind") == "curated").alias("curated"))
-    form = labels.objective(F.col("command"), F.col("context"))["form"]
-    no = F.lit(False)
-    out = ctx.join(flags, ["trajectory_id", "call_index"], "left")
-    label = labels.data_source(form, F.col("source"), F.coalesce("self", no), F.coalesce("curated", no))
-    return out.select("trajectory_id", "call_index", form.alias("form"), label.alias("data_source"), labels.init_source(F.col("source")).alias("init_source"))
-
-
 @query(f"""WITH {_EV}, k AS (SELECT trajectory_id, event_index, command, {labels.v1_command_sql('command')} FROM e WHERE command <> '') SELECT trajectory_id, command, method, min(event_index) AS event_index FROM k WHERE training OR evaluation OR checkpoint GROUP BY 1, 2, 3""")
 def candidate_experiments(s, d):
     """First-stage candidates: launches of training, evaluation or checkpoints, the first of each command."""
@@ -444,7 +401,7 @@ def _initial(s, d):
 @query(f"""WITH {_FIRST}, t AS (SELECT scaffold_family, benchmark, sum(n) AS total, count(*) AS kinds, max(n) AS top FROM g GROUP BY 1, 2)
 SELECT g.scaffold_family, g.benchmark, CAST(total AS BIGINT) AS n, kinds AS n_kinds, top / total AS top_share, round(0 - sum(g.n / total * ln(g.n / total)), 9) AS entropy, round((0 - sum(g.n / total * ln(g.n / total))) / ln(greatest(2, kinds)), 9) AS normalized_entropy
 FROM g JOIN t ON g.scaffold_family = t.scaffold_family AND g.benchmark IS NOT DISTINCT FROM t.benchmark GROUP BY g.scaffold_family, g.benchmark, total, kinds, top""")
-def initial_objective_entropy(s, d):
+def initial_action_entropy(s, d):
     counts = _initial(s, d).groupBy("scaffold_family", "benchmark", "initial").agg(F.count("*").alias("n"))
     by = counts.groupBy("scaffold_family", "benchmark").agg(F.sum("n").alias("total"), F.count("*").alias("n_kinds"), F.max("n").alias("top"), F.collect_list("n").alias("ns"))  # one number a kind
     h = F.aggregate("ns", F.lit(0.0), lambda acc, n: acc - n / F.col("total") * F.log(n / F.col("total")))
@@ -455,14 +412,14 @@ _ORDER = "['training', 'evaluation', 'checkpoint', 'debugging', 'data_preparatio
 
 
 @query(f"WITH {_FIRST} SELECT scaffold_family, benchmark, arg_max(initial, (n, -list_position({_ORDER}, initial))) AS dominant, max(n) AS dominant_n FROM g GROUP BY 1, 2")
-def initial_objective_dominant(s, d):
+def initial_action_dominant(s, d):
     return ordered.dominant(_initial(s, d), ["scaffold_family", "benchmark"], "initial", MEANINGFUL)
 
 
 @query(f"""WITH {_POINTS}, {_CALLS}, {_INV}, f AS (SELECT trajectory_id, arg_min(action_category, call_index) AS initial FROM c WHERE action_category IN {_IN} GROUP BY 1),
 l AS (SELECT trajectory_id, arg_max(metric_value, (event_index, metric_name, metric_value)) AS final_metric FROM points GROUP BY 1), j AS (SELECT inv.benchmark, f.initial, final_metric FROM f JOIN inv USING (trajectory_id) JOIN l USING (trajectory_id)),
 b AS (SELECT benchmark, avg(final_metric) AS bm FROM j GROUP BY 1) SELECT j.benchmark, j.initial, count(*) AS n, round(avg(final_metric), 9) AS mean_metric, round(avg(final_metric) - any_value(bm), 9) AS centered_mean FROM j JOIN b ON j.benchmark IS NOT DISTINCT FROM b.benchmark GROUP BY 1, 2""")
-def outcome_by_objective(s, d):
+def outcome_by_action(s, d):
     at = F.struct("event_index", "metric_name", "metric_value")
     final = _points(s, d).groupBy("trajectory_id").agg(F.max_by("metric_value", at).alias("m"))
     j = _initial(s, d).join(final, "trajectory_id")
@@ -552,7 +509,7 @@ def cell_consistency(s, d):
 
 @query(f"""WITH {_PAIRS}, x AS (SELECT user_id, count(*) AS pairs, count_if(before <> event_type) AS changes FROM p GROUP BY 1)
 SELECT user_id % 5 AS harness, CAST(sum(pairs) AS BIGINT) AS pairs, CAST(sum(changes) AS BIGINT) AS changes, count(*) AS trajectories, count_if(changes > 0) AS changed_trajectories, sum(changes) / sum(pairs) AS rate FROM x GROUP BY ROLLUP (user_id % 5)""")
-def broad_change_rollup(s, d):
+def event_change_rollup(s, d):
     # one row a trajectory first, so distinct trajectories are rows
     x = _pairs(s, d).groupBy("user_id").agg(F.count("*").alias("pairs"), F.count_if("changed").alias("changes"))
     out = x.rollup((F.col("user_id") % 5).alias("harness")).agg(F.sum("pairs").alias("pairs"), F.sum("changes").alias("changes"), F.count("*").alias("trajectories"), F.count_if(F.col("changes") > 0).alias("changed_trajectories"))

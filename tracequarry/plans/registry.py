@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracequarry.operators import log_lines, schema_drift
-from tracequarry.plans import reference
+from tracequarry.plans import objectives, reference  # objectives adds its queries to the same table
 from tracequarry.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,7 @@ def _training_data() -> dict[str, Query]:
 
 
 def queries() -> dict[str, Query]:
+    assert objectives.QUERIES is reference.QUERIES
     return {**_training_data(), **reference.queries()}
 
 
