@@ -41,7 +41,7 @@ FIELDS = ("command_output", "text")
 SAMPLE = 2500
 SLOTS = 1 << 18
 #: Log-odds (at even odds in training) from which a value counts as cut: cut values are rare.
-THRESHOLD = 2.4
+THRESHOLD = 2.25
 #: Values that a model of other values scores as much as this are not taken for intact.
 DOUBT = 0.0
 #: Share of the sampled values that are also made into a marked one, and into one for each limit.
@@ -68,8 +68,8 @@ _STOPS = "。！？…”’»）」"
 _TAIL = 240
 
 
-#: What tells most has several weights of its own, so that it can outweigh all the rest.
-_FILLS, _SURE = (["fills", *(f"fills {i}" for i in range(15))], ["sure mark", *(f"sure mark {i}" for i in range(15))])
+#: What tells most counts so many times, so that it can outweigh all the rest.
+TELLING, TIMES = ("fills", "sure mark"), 16.0
 
 
 def mask(text: str) -> str:
@@ -150,10 +150,10 @@ def strings(value: str, source: str, field: str, chars: frozenset[int], bytes_:
     n = len(value)
     out = ["bias", where]
     if fills_limit(value, chars, bytes_):
-        out += _FILLS
+        out.append("fills")
     marked = MARK.search(value, max(0, n - 60))
     if SURE_MARK.search(value, max(0, n - 60)):
-        out += _SURE
+        out.append("sure mark")
     if marked:
         out += ["marked", f"marked {mask(marked.group())}"]
         value = value[: marked.start()]
@@ -231,14 +231,16 @@ class Model:
         y = labels.astype(np.float64)
         n, cut = taken.sum(), (y * taken).sum()
         share = np.where(y > 0, 0.5 / max(1, cut), 0.5 / max(1, n - cut)) * taken
+        times = np.ones(SLOTS)
+        times[hashed(list(TELLING))] = TIMES
         w, square = np.zeros(SLOTS), np.full(SLOTS, 1e-10)
         for _ in range(rounds):
-            z = np.bincount(of, w[at], len(y))
+            z = np.bincount(of, (w * times)[at], len(y))
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-            gradient = np.bincount(at, error[of], SLOTS) + decay * 1e-3 * w
+            gradient = np.bincount(at, error[of], SLOTS) * times + decay * 1e-3 * w
             square += gradient**2
             w -= rate * gradient / np.sqrt(square)
-        self.weights = w
+        self.weights = w * times
 
 
 def field_limits(events: DataFrame) -> tuple[dict[tuple[str, str], tuple[frozenset[int], frozenset[int]]], dict[tuple[str, str], int]]:
@@ -386,7 +388,7 @@ def scores(events: DataFrame, model: Model, cut_only: bool = False) -> DataFrame
                         continue
                     strings_ = model.features(value, sources[row], field) if value.strip() else []
                     score = sum([weights[crc32(f.encode()) % SLOTS] for f in strings_]) if strings_ else -np.inf
-                    is_cut = model.is_cut(score, value, not ({"fills", "sure mark"} & set(strings_)))
+                    is_cut = model.is_cut(score, value, not set(TELLING) & set(strings_))
                     if not cut_only or is_cut:
                         at.append(row)
                         fields.append(field)
