@@ -5,7 +5,7 @@ Positions are integers, unique within the keys. See blocks.py for the block sche
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,10 +85,14 @@ def next_boundary(df: DataFrame, keys: Sequence[str], position: str, is_boundary
     return out.withColumn(name, F.col("_n.b")).select(*df.columns, name)
 
 
-def islands(df: DataFrame, keys: Sequence[str], position: str, starts: Column, name: str, block: int = BLOCK) -> DataFrame:
-    """Adds the island number (from 0): every row where `starts` holds, and the first of each key, opens one."""
-    lag = blocked_lag(df, keys, position, F.struct(position), "_b", block)
-    opened = lag.withColumn("_o", F.when(F.coalesce(starts, F.lit(False)) | F.col("_b").isNull(), 1).otherwise(0)).drop("_b")
+def islands(df: DataFrame, keys: Sequence[str], position: str, starts: Column, name: str, block: int = BLOCK, joins: Callable[[Column], Column] | None = None, carry: Column | None = None) -> DataFrame:
+    """Adds the island number (from 0): every row where `starts` holds, and the first of each key, opens one.
+
+    joins: a test of the row before, by its `carry` (a struct); where it fails a row also opens an island.
+    """
+    lag = blocked_lag(df, keys, position, F.struct(position) if carry is None else carry, "_b", block)
+    apart = F.lit(False) if joins is None else ~F.coalesce(joins(F.col("_b")), F.lit(False))
+    opened = lag.withColumn("_o", F.when(F.coalesce(starts, F.lit(False)) | F.col("_b").isNull() | apart, 1).otherwise(0)).drop("_b")
     return running_sum(opened, keys, position, {name: F.col("_o")}, block).withColumn(name, F.col(name) - 1).drop("_o")
 
 
