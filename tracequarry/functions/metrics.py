@@ -48,7 +48,8 @@ def text_metrics(df: DataFrame, text: str) -> DataFrame:
 def json_leaves(df: DataFrame, text: str, most_depth: int = 32) -> DataFrame:
     """Adds name, value: one row a number in a JSON object, by dotted path (booleans are none; arrays are not entered).
 
-    Level by level: each round explodes the objects that are left, until none is (or most_depth).
+    Level by level: each round explodes the objects that are left, until none is. Deeper
+    objects than most_depth are refused, so no leaf is lost.
     """
     spark = df.sparkSession
     keep = ", ".join(f"d.`{c}`" for c in df.columns)
@@ -63,6 +64,9 @@ def json_leaves(df: DataFrame, text: str, most_depth: int = 32) -> DataFrame:
         if len(out) >= 4:  # deeper levels are rare: look whether there is one
             if level.isEmpty():
                 break
+    else:
+        if not level.isEmpty():
+            raise ValueError(f"JSON objects are nested more than {most_depth} deep")
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionByName(more)

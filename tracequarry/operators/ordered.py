@@ -204,7 +204,12 @@ def containment(documents: DataFrame, items: DataFrame, text: str, item_text: st
         return F.when(last >= 1, hashes).otherwise(F.array().cast("array<bigint>"))
 
     keys = F.array_distinct(F.flatten(F.array(*map(at_every_word, lengths)))) if lengths else F.array().cast("array<bigint>")
-    found = docs.withColumn("_key", F.explode(keys)).join(keyed.drop("_w", "_n"), "_key").where(F.col("_doc").contains(F.col("_item"))).drop("_key", "_doc", "_item")
+    # only ids and hashes are exploded and joined; the text of the few documents that meet an item is fetched by id
+    ids = [c for c in documents.columns if c != text]
+    met = docs.select(*ids, F.explode(keys).alias("_key")).join(keyed.select(*items.columns[:-2], "_item", "_key"), "_key").drop("_key").distinct()
+    own = docs.select(*[F.col(c).alias(f"_id{i}") for i, c in enumerate(ids)], F.col(text), "_doc")
+    same = [F.col(c).eqNullSafe(F.col(f"_id{i}")) for i, c in enumerate(ids)]
+    found = own.join(met, same).where(F.col("_doc").contains(F.col("_item"))).select(*documents.columns, *items.columns[:-2])
     short = items.where(F.size("_w") <= 2).drop("_w")
     few = [r._item for r in short.select("_item").distinct().limit(MAX_SHORT_ITEMS + 1).collect()]
     if len(few) > MAX_SHORT_ITEMS:
@@ -212,5 +217,5 @@ def containment(documents: DataFrame, items: DataFrame, text: str, item_text: st
     if not few:
         return found
     held = F.filter(F.array(*[F.lit(x) for x in sorted(few)]), lambda x: F.col("_doc").contains(x))
-    direct = docs.withColumn("_item", F.explode(held)).drop("_doc").join(short, "_item").drop("_item")
+    direct = docs.withColumn("_item", F.explode(held)).drop("_doc").join(short, "_item").select(*found.columns)
     return found.unionByName(direct)

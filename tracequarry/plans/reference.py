@@ -6,6 +6,7 @@ columns used (deliveries differ in ingested_at alone).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -249,14 +250,6 @@ def asof_proposal_by_family(s, d):
     return ordered.asof_backward(own, marks, ["trajectory_id", "family"], "event_index", ["proposed_at"]).drop("event_index")
 
 
-@query(f"""WITH {_EV}, k AS (SELECT trajectory_id, event_index, command, {labels.v1_command_sql('command')} FROM e WHERE command <> '') SELECT trajectory_id, command, method, min(event_index) AS event_index FROM k WHERE training OR evaluation OR checkpoint GROUP BY 1, 2, 3""")
-def candidate_experiments(s, d):
-    """First-stage candidates: launches of training, evaluation or checkpoints, the first of each command."""
-    e = rows(s, d, "agent_event", "trajectory_id", "event_index", "command").where("command <> ''")
-    k = e.withColumn("v", labels.v1_command(F.col("command"), F.lit(None).cast("string"))).where("v.training or v.evaluation or v.checkpoint")
-    return ordered.keep_first(k.select("trajectory_id", "command", F.col("v.method").alias("method"), "event_index"), ["trajectory_id", "command", "method"], ["event_index"])
-
-
 @query(f"""WITH {_EV}, x AS (SELECT trajectory_id, coalesce(bool_or(event_type = 'result' AND lifecycle_status = 'completed'), false) AS terminal, coalesce(bool_or(event_type = 'error' OR (event_type = 'result' AND lifecycle_status = 'error')), false) AS failed, count(*) AS n_events FROM e GROUP BY 1)
 SELECT trajectory_id, n_events, terminal, failed, CASE WHEN terminal THEN 'complete' ELSE 'partial' END AS behavior, CASE WHEN failed AND NOT terminal THEN 'failed' WHEN terminal THEN 'complete' ELSE 'incomplete' END AS status FROM x""")
 def run_completeness(s, d):
@@ -606,16 +599,6 @@ def generic_name_except(s, d):
 
 
 # ---- curation ----------------------------------------------------------------------------------
-_NORM = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
-
-
-@query(f"SELECT DISTINCT d.doc_id, i.item_id FROM documents d JOIN benchmark_item i ON contains({_NORM.format('d.text')}, {_NORM.format('i.text')}) WHERE {_NORM.format('i.text')} <> ''")
-def decontaminate_containment(s, d):
-    docs = table(s, d, "documents").select("doc_id", "text")
-    items = table(s, d, "benchmark_item").select("item_id", F.col("text").alias("item_text"))
-    return ordered.containment(docs, items, "text", "item_text").select("doc_id", "item_id").distinct()
-
-
 @query("SELECT min(doc_id) AS doc_id, md5(text) AS text_hash, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text")
 def exact_dedup_keep_first(s, d):
     return table(s, d, "documents").where("text is not null").groupBy(F.md5("text").alias("text_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
@@ -728,12 +711,6 @@ def line_scan_counters(s, d):
     return lines.line_counts(lines.records(_doc_lines(s, d), "doc_id"), "doc_id")
 
 
-@query(None)
-def plain_trace_blocks(s, d):
-    """Marker lines of documents taken as a plain trace; tested on fixtures."""
-    return lines.plain_blocks(_doc_lines(s, d), "doc_id").select("doc_id", "block", "kind", "tool_name", "line_start", "line_end")
-
-
 @query(None)
 def cluster_bootstrap(s, d):
     """Resampled means of event values by user; the draws are our own, so SQL has no equal."""
@@ -753,14 +730,29 @@ def _stream(s, d):
 
 
 def _drained(s, d, stream, name, mode="append"):
-    folder = f"{ensure_checkpoint_dir(s)}/stream-{name}-{abs(hash((d, id(stream))))}"
-    return queue.drained(stream, folder, name, mode)
+    """A new run over new folders, named by the session and the run; the query itself is repeatable."""
+    folder = f"{ensure_checkpoint_dir(s)}/stream-{name}-{uuid.uuid4().hex}"
+    return queue.drained(stream, f"{folder}/state", f"{folder}/rows", mode)
 
 
 @query("SELECT DISTINCT user_id FROM events")
 def queue_dedup_stream(s, d):
     """Users as keys of a queue: each is taken once, though it comes again and again."""
-    return _drained(s, d, queue.once_by_key(_stream(s, d).select("user_id"), "user_id"), "queue_dedup_stream")
+    requests = _stream(s, d).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    # keys are forgotten when no event within 400 days can repeat them, so state does not grow for ever
+    return _drained(s, d, queue.once_by_key(requests, "user_id", "ts", "400 days"), "queue_dedup_stream").select("user_id")
+
+
+@query("""WITH w AS (SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k AS started FROM events, (VALUES (0), (1)) x(k)) SELECT event_type, started, count(*) AS n_events FROM w GROUP BY 1, 2""")
+def sliding_windows(s, d):
+    """Hourly counts every half hour, as a stream with a watermark: windows come out when they close, the last one through an end mark."""
+    events = table(s, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 900 DAYS")).alias("ts")).select(F.lit("end").alias("event_type"), "ts")
+    source = f"{ensure_checkpoint_dir(s)}/source-sliding_windows-{uuid.uuid4().hex}"
+    events.unionByName(end).repartitionByRange(4, "ts").write.parquet(source)
+    stream = s.readStream.schema("event_type string, ts timestamp").option("maxFilesPerTrigger", 2).parquet(source)
+    out = _drained(s, d, queue.window_counts(stream, late="400 days"), "sliding_windows")
+    return out.where("event_type <> 'end'").select("event_type", F.col("started").cast("timestamp_ntz").alias("started"), "n_events")
 
 
 @query("""WITH t AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS o FROM events), i AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM t)

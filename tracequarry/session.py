@@ -15,14 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder checkpoint() writes to: the session's spark.checkpoint.dir.
 
-    Only where the setting is absent and no folder was given yet (tests on one
-    machine) is a temporary folder used.
+    Only where the setting is absent, no folder was given yet and the master is local
+    (tests on one machine) is a temporary folder used; a cluster must name its own.
     """
     sc = spark.sparkContext
     wanted = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not wanted and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder: executors can't use this machine's")
     sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="tracequarry-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -78,18 +78,56 @@ def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines by a given schema; nothing is inferred, missing keys are null."""
+    return spark.read.schema(schema).json(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV with a header by a given schema; empty and None cells are null."""
+    return spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
+
+
+def write_evaluation_logs(heads: DataFrame, records: DataFrame, log: str, path: str, salts: int = 16) -> None:
+    """Logs as JSON lines in a folder each: a line of type meta with the head, then lines of type record.
+
+    A log's records may be many, so they go to up to `salts` files; the first holds the head before its records.
+    """
+    line = lambda df, kind: F.to_json(F.struct(F.lit(kind).alias("type"), *[F.col(c) for c in sorted(df.columns)]))
+    first = heads.select(log, F.lit(0).alias("_salt"), F.lit(0).alias("_order"), line(heads, "meta").alias("value"))
+    rest = records.select(log, line(records, "record").alias("value")).select(log, F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int").alias("_salt"), F.lit(1).alias("_order"), "value")
+    placed = first.unionByName(rest).repartition(F.col(log), F.col("_salt")).sortWithinPartitions(log, "_salt", "_order", "value")
+    placed.select(log, "value").write.mode("overwrite").partitionBy(log).text(path)
+
+
+def read_evaluation_logs(spark: SparkSession, path: str, head: str, record: str, log: str) -> tuple[DataFrame, DataFrame]:
+    """(heads, records) of written logs, by their schemas."""
+    lines_ = spark.read.text(path)
+    kind = F.get_json_object("value", "$.type")
+    part = lambda name, schema: lines_.where(kind == name).select(F.from_json("value", schema).alias("r")).select("r.*")
+    return part("meta", head), part("record", record)
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def manifest(inv: DataFrame, config: dict, outputs: list[str]) -> dict:
-    """Hash of the configuration, of the sorted input hashes (folded in Spark by part), and the outputs.
+def manifest(inv: DataFrame, config: dict, outputs: list[str], scripts: dict[str, str] | None = None) -> dict:
+    """Hash of the configuration, of the sorted input hashes (folded in Spark by part) and of each script's text, and the outputs.
 
     Input hashes are folded in 256 parts by their first byte, so no task and not the driver holds all of them.
     """
     parts = inv.where("duplicate_content_hash is not null").groupBy(F.left("duplicate_content_hash", F.lit(2)).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("duplicate_content_hash")), ""), 256).alias("h"))
     folded = hashlib.sha256("".join(r.h for r in parts.orderBy("part").collect()).encode()).hexdigest()
-    return {"config_hash": hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest(), "inputs_hash": folded, "outputs": sorted(outputs)}
+    return {"config_hash": hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest(), "inputs_hash": folded, "script_hashes": {k: hashlib.sha256(v.encode()).hexdigest() for k, v in sorted((scripts or {}).items())}, "outputs": sorted(outputs)}
+
+
+def markdown_report(title: str, sections: list[tuple[str, str, DataFrame]]) -> str:
+    """A report of small tables: a title, and for each section a heading, a sentence and its table."""
+    parts = [f"# {title}"]
+    for heading, text, df in sections:
+        parts += ["", f"## {heading}", "", *([text, ""] if text else []), markdown_table(df)]
+    return "\n".join(parts) + "\n"
 
 
 def markdown_table(df: DataFrame, most: int = 1000) -> str:

@@ -115,8 +115,11 @@ def window_counts(events: DataFrame, length: str = "1 hour", slide: str = "30 mi
     return out.select("event_type", F.col("window.start").alias("started"), "n_events")
 
 
-def drained(stream: DataFrame, checkpoint: str, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now and gives its rows (small results only: the sink is in memory)."""
-    running = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drained(stream: DataFrame, checkpoint: str, out: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there now into Parquet files and gives them as a table.
+
+    checkpoint and out are the stream's own folders: a restart goes on where it stopped.
+    """
+    running = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     running.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
