@@ -120,26 +120,44 @@ def _hashed(documents: DataFrame) -> DataFrame:
     return cut_lineage(forms.select("doc_id", digest("form").alias("form"), digest("text").alias("text")))
 
 
+#: Parts that the documents of one text are split into where texts meet documents.
+SALTS = 16
+#: A form with more than this share of all documents is joined by broadcast: there are fewer than 1 / HOT of them.
+HOT = 0.001
+
+
 def same_look_classes(documents: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_documents, n_texts): every document with the least doc_id of its form."""
+    """(doc_id, class_id, n_documents, n_texts): every document with the least doc_id of its form.
+
+    A form may hold a third of all documents. Classes of such forms, fewer than 1 / HOT,
+    are broadcast; the other documents meet their class by its hash.
+    """
     rows = _hashed(documents)
     texts = rows.groupBy("form", "text").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    classes = texts.groupBy("form").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_documents"), F.count("*").alias("n_texts"))
-    return rows.join(classes, "form").select("doc_id", "class_id", "n_documents", "n_texts")
+    classes = cut_lineage(texts.groupBy("form").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_documents"), F.count("*").alias("n_texts")))
+    least = HOT * rows.count()
+    hot = F.broadcast(classes.where(F.col("n_documents") > least).withColumnsRenamed({"class_id": "c", "n_documents": "nd", "n_texts": "nt"}))
+    met = rows.join(hot, "form", "left")
+    names = ["doc_id", "class_id", "n_documents", "n_texts"]
+    few = met.where("c is null").select("doc_id", "form").join(classes.where(F.col("n_documents") <= least), "form").select(*names)
+    return met.where("c is not null").select("doc_id", F.col("c").alias("class_id"), F.col("nd").alias("n_documents"), F.col("nt").alias("n_texts")).unionByName(few)
 
 
 def same_look_pairs(documents: DataFrame) -> DataFrame:
     """p10_found: (doc_id_a, doc_id_b), different texts of one form.
 
-    Only forms with two or more different texts are joined, and texts meet by class
-    first, so documents of exact copies meet no copy of themselves.
+    Forms are compared by their distinct texts, whatever their copies: only forms with two
+    or more different texts go on. Each pair of texts then meets the documents of either
+    text, which are split into SALTS parts, as one text may have very many copies.
     """
     rows = _hashed(documents)
-    texts = rows.groupBy("form", "text").agg(F.count("*").alias("n"))
+    texts = rows.select("form", "text").distinct()
     mixed = texts.groupBy("form").agg(F.count("*").alias("n_texts")).where("n_texts > 1").select("form")
-    kept = texts.join(mixed, "form", "left_semi").select("form", "text")
-    pairs = kept.select("form", F.col("text").alias("text_a")).join(kept.select("form", F.col("text").alias("text_b")), "form").where("text_a < text_b")
-    docs = rows.select("text", "doc_id")
-    left = pairs.join(docs.select(F.col("text").alias("text_a"), F.col("doc_id").alias("a")), "text_a")
-    both = left.join(docs.select(F.col("text").alias("text_b"), F.col("doc_id").alias("b")), "text_b")
+    kept = texts.join(mixed, "form", "left_semi")
+    pairs = kept.select("form", F.col("text").alias("text_a")).join(kept.select("form", F.col("text").alias("text_b")), "form").where("text_a < text_b").select("text_a", "text_b")
+    docs = rows.select("text", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    salted = lambda df: df.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    side = lambda t, name: docs.select(F.col("text").alias(t), "salt", F.col("doc_id").alias(name))
+    left = salted(pairs).join(side("text_a", "a"), ["text_a", "salt"]).drop("salt")
+    both = salted(left).join(side("text_b", "b"), ["text_b", "salt"])
     return both.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).where("doc_id_a < doc_id_b").distinct()
