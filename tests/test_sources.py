@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracequarry.operators import normalize, statistics
@@ -93,14 +94,14 @@ def test_streams(spark, tmp_path):
     for i, c in enumerate(["a", "b", "a"]):
         (tmp_path / "q" / f"{i}.json").write_text(json.dumps({"timestamp": str(i), "checkpoint": c}))
     once = queue.once_by_key(queue.request_stream(spark, str(tmp_path / "q"), 1).select("checkpoint"))
-    assert sorted(r.checkpoint for r in queue.drained(once, str(tmp_path / "cp1"), "once").collect()) == ["a", "b"]
+    assert sorted(r.checkpoint for r in queue.drained(once, str(tmp_path / "cp1"), str(tmp_path / "rows1")).collect()) == ["a", "b"]
     (tmp_path / "r").mkdir()
     for i, ok in enumerate([False, False, False, True]):
         file = tmp_path / "r" / f"{i}.json"
         file.write_text(json.dumps({"key": "k", "ok": ok}))
         os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))  # files are taken in order of time
     results = spark.readStream.schema("key string, ok boolean").option("maxFilesPerTrigger", 1).json(str(tmp_path / "r"))
-    got = queue.drained(queue.with_retries(results, ttl=None), str(tmp_path / "cp2"), "retries").collect()
+    got = queue.drained(queue.with_retries(results, ttl=None), str(tmp_path / "cp2"), str(tmp_path / "rows2")).collect()
     assert sorted((r.tries, r.verdict) for r in got) == [(1, "retry"), (2, "retry"), (3, "given_up"), (4, "done")]
 
 
@@ -136,3 +137,70 @@ def test_usage_behind_prefixes(spark):
         raise AssertionError("an empty result must be an error")
     except ValueError:
         pass
+
+
+def test_evaluation_logs_and_reports(spark, tmp_path):
+    heads = spark.createDataFrame([("a", 0.5), ("b", 1.0)], "log string, accuracy double")
+    records = spark.createDataFrame([("a", i, None if i % 2 else "x") for i in range(40)], "log string, i int, answer string")
+    inventory.write_evaluation_logs(heads, records, "log", f"{tmp_path}/logs")
+    head, body = inventory.read_evaluation_logs(spark, f"{tmp_path}/logs", "log string, accuracy double", "log string, i int, answer string", "log")
+    assert {tuple(r) for r in head.collect()} == {("a", 0.5), ("b", 1.0)} and body.count() == 40 and body.where("answer is null").count() == 20
+    first = [f.read_text().splitlines()[0] for f in (tmp_path / "logs" / "log=a").glob("*.txt") if '"type":"meta"' in f.read_text()]
+    assert len(first) == 1 and '"type":"meta"' in first[0]
+    report = inventory.markdown_report("Runs", [("All", "Two logs.", heads.orderBy("log"))])
+    assert report.splitlines()[:3] == ["# Runs", "", "## All"] and "| a | 0.5 |" in report
+    table = spark.createDataFrame([("a|b", None)], "x string, y string")
+    assert inventory.markdown_table(table).splitlines()[2] == "| a\\|b |  |"
+
+
+def test_json_is_not_cut_at_a_depth(spark):
+    from tracequarry.functions import metrics
+
+    deep = "".join('{"a":' for _ in range(6)) + "1" + "}" * 6
+    df = spark.createDataFrame([(deep,)], "j string")
+    assert [(r.name, r.value) for r in metrics.json_leaves(df, "j").collect()] == [("a.a.a.a.a.a", 1.0)]
+    with pytest.raises(ValueError):
+        metrics.json_leaves(df, "j", most_depth=5)
+
+
+def test_first_stage_reader(spark):
+    """One recorder before the other, then any JSON, then a trace; proposals are not executed."""
+    from tracequarry.operators import first_stage
+
+    logs = [
+        ("c", 1, 'warning: x'), ("c", 2, '[t] {"type":"assistant","message":{"content":[{"type":"text","text":"hi"},{"type":"tool_use","name":"Bash","input":{"cmd":"ls"}}]}}'), ("c", 3, '{"type":"result","result":"done"}'),
+        ("x", 1, '{"type":"item.completed","item":{"type":"command_execution","command":"python train.py","status":"completed"}}'), ("x", 2, '{"type":"error","message":"no"}'),
+        ("u", 1, '{"type":"other","message":"kept"}'), ("n", 1, "no json"), ("p", 1, "{broken"),
+    ]
+    traces = [("p", 1, "lost"), ("p", 2, "Assistant — turn 1"), ("p", 3, "body"), ("p", 4, "Tool call: Write"), ("c", 1, "Tool call: unused")]
+    schema = "trajectory_id string, line_no int, line string"
+    got = first_stage.events(spark.createDataFrame(logs, schema), spark.createDataFrame(traces, schema)).collect()
+    rows = {(r.trajectory_id, r.event_index): (r.source_format, r.parser_confidence, r.event_type, r.role, r.tool_name, r.text, r.command, r.exit_code, r.source_line_start, r.source_line_end) for r in got}
+    assert rows == {
+        ("c", 0): ("claude_jsonl", "high", "assistant_text", "assistant", None, "hi", None, None, 2, 2), ("c", 1): ("claude_jsonl", "high", "tool_call", "assistant", "Bash", None, "ls", None, 2, 2), ("c", 2): ("claude_jsonl", "high", "result", "unknown", None, "done", None, None, 3, 3),
+        ("x", 0): ("codex_jsonl", "high", "command_execution", "assistant", "command_execution", "python train.py", "python train.py", 0, 1, 1), ("x", 1): ("codex_jsonl", "high", "error", "unknown", None, "no", None, None, 2, 2),
+        ("u", 0): ("jsonl_unknown", "medium", "assistant_text", "unknown", None, "kept", None, None, 1, 1), ("p", 0): ("plain_trace", "low", "assistant_text", "assistant", None, "Assistant — turn 1\nbody", None, None, 2, 3),
+        ("p", 1): ("plain_trace", "low", "tool_call", "assistant", "Write", "Tool call: Write", None, None, 4, 4),
+    }
+    formats = {r.trajectory_id: (r.source_format, r.parser_confidence) for r in first_stage.source_formats(lines.records(spark.createDataFrame(logs, schema), "trajectory_id"), spark.createDataFrame(traces, schema), "trajectory_id").collect()}
+    assert formats["p"] == ("plain_trace", "low") and formats["u"] == ("jsonl_unknown", "medium")
+    events = [("t", 0, "tool_call", "Write", None, "script", "train_rl.py"), ("t", 1, "command_execution", "command_execution", "python train_rl.py --lr 1e-5", None, None), ("t", 2, "command_execution", "command_execution", "python evaluate.py", None, None), ("t", 3, "command_execution", None, "python evaluate.py", None, None), ("t", 4, "tool_call", "bash", None, "sh train.sh --resume_from_checkpoint out/c1", None), ("t", 5, "tool_call", "Write", None, "x", "notes.md")]
+    found = first_stage.experiments(spark.createDataFrame(events, "trajectory_id string, event_index int, event_type string, tool_name string, command string, text string, file_path string")).orderBy("experiment_index").collect()
+    assert [(r.executed_or_proposed, r.training_launched, r.evaluation_launched, r.checkpoint_parent) for r in found] == [("proposed", False, False, None), ("executed", True, False, None), ("executed", False, True, None), ("executed", True, False, "out/c1")]
+
+
+def test_reward_from_a_file(spark, tmp_path):
+    from tracequarry.functions import rewards
+
+    (tmp_path / "r.py").write_text("def compute_score(data_source, solution_str, ground_truth, extra_info=None):\n    return {'score': float(solution_str == ground_truth)}\n")
+    df = spark.createDataFrame([("s", "4", "4"), ("s", "4", "5"), ("s", None, "5")], "s string, a string, t string")
+    got = df.select(rewards.plugged_reward(str(tmp_path / "r.py"), F.col("s"), F.col("a"), F.col("t")).alias("r")).collect()
+    assert [r.r for r in got] == [1.0, 0.0, None]
+
+
+def test_unknown_settings_are_refused():
+    from tracequarry.plans.config import Config
+
+    assert Config.read(Config(benchmarks=("a",)).text()) == Config(benchmarks=("a",))
+    with pytest.raises(ValueError):
+        Config.read('{"budget": 3}')

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracequarry.operators import log_lines, schema_drift
-from tracequarry.plans import objectives, readers, reference  # objectives and readers add theirs to the same table
+from tracequarry.plans import objectives, readers, reference, scalars  # the others add theirs to reference's table
 from tracequarry.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +30,7 @@ def _training_data() -> dict[str, Query]:
 
 
 def queries() -> dict[str, Query]:
-    assert objectives.QUERIES is readers.QUERIES is reference.QUERIES
+    assert objectives.QUERIES is readers.QUERIES is scalars.QUERIES is reference.QUERIES
     return {**_training_data(), **reference.queries()}
 
 

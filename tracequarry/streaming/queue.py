@@ -91,6 +91,17 @@ def journal_results(requests: DataFrame, journal: DataFrame, within: str = "3 ho
     return r.join(j, on, "inner").select("r.checkpoint", "r.requested_at", "j.finished_at")
 
 
+def cycle_states(requests: DataFrame, results: DataFrame, seconds: int) -> DataFrame:
+    """(key, line_no, state) of requests (key, line_no, at): done, timed_out or open, by the next result of the key in line order."""
+    from tracequarry.operators.ordered import asof_backward
+
+    back = lambda df: df.withColumn("_back", -F.col("line_no").cast("long"))
+    marks = back(results).select("key", "_back", F.col("at").alias("finished"))
+    met = asof_backward(back(requests), marks, ["key"], "_back", ["finished"])
+    took = F.unix_micros("finished") - F.unix_micros("at")
+    return met.select("key", "line_no", F.when(F.col("finished").isNull(), "open").when(took <= seconds * 1_000_000, "done").otherwise("timed_out").alias("state"))
+
+
 def last_lines(journal: DataFrame, n: int = 50) -> DataFrame:
     """The last n lines, in order."""
     return journal.orderBy(F.desc("line_no")).limit(n).orderBy("line_no")
