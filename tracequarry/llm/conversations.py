@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.operators.ordered import running_sum
+
 BLOCK = 4096
 COLUMNS = ["trajectory_id", "event_index", "event_type", "role", "tool_name", "text", "call_id", "lifecycle_status"]
 #: Role names of the recorders, by uniform role (fixed values).
@@ -156,11 +158,16 @@ def dropped_conversations(messages: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def conversations(messages: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The kept conversations as rows in order, with uniform speakers.
+    """The kept conversations as rows in order, with uniform speakers and the number of their turn.
 
-    The order is the column event_index; rows stay rows, as one conversation may be
-    too long for one value.
+    Rows are range-partitioned and sorted by (trajectory_id, event_index), so files hold
+    conversations in order; rows stay rows, as one conversation may be too long for one
+    value. Turns are counted by user messages; what comes before the first is turn 0.
     """
     rows = merged_messages(messages)
     kept = conversation_verdicts(messages, block).where(F.size("reasons") == 0).select("trajectory_id")
-    return rows.join(kept, "trajectory_id", "left_semi").select("trajectory_id", "event_index", "speaker", "event_type", "tool_name", "call_id", "text")
+    own = rows.join(kept, "trajectory_id", "left_semi")
+    is_user = ~_system_row() & F.coalesce((F.col("speaker") == "user") & (F.col("event_type") != "tool_result"), F.lit(False))
+    turns = running_sum(own.select("trajectory_id", "event_index", is_user.cast("int").alias("u")), ["trajectory_id"], "event_index", {"turn": F.col("u")}, block).drop("u")  # texts stay behind
+    out = own.join(turns, ["trajectory_id", "event_index"]).select("trajectory_id", "event_index", "turn", "speaker", "event_type", "tool_name", "call_id", "text")
+    return out.repartitionByRange("trajectory_id", "event_index").sortWithinPartitions("trajectory_id", "event_index")

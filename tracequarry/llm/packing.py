@@ -11,7 +11,10 @@ Defined results
   other text is divided;
 * an empty text is one piece of 0 tokens; a null text is no item and is left out;
 * containers are named by spec and their first piece, so names are unique in the corpus;
-* specs with a null or non-positive capacity get no containers; repeated spec rows count once.
+* specs with a null or non-positive capacity get no containers; repeated spec rows count once,
+  and of several capacities of one spec the least counts, as its pieces then fit all of them;
+* containers do not span ranges of the curve, so which pieces meet (but not which pieces
+  there are) depends on the number of ranges; each range leaves its last containers part empty.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm.tokens import TOKENIZERS, tokenizer, vocabulary
+from tracequarry.llm.tokens import TOKENIZERS, shipped, tokenizer
 from tracequarry.session import cut_lineage
 
 #: Hashed dimensions, curve dimensions, bits of each.
@@ -86,7 +89,7 @@ def curve_points(token_lists: list[np.ndarray]) -> np.ndarray:
 
 def sized_documents(documents: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
     """(doc_id, n_tokens, curve) of every text that is not null."""
-    path = vocabulary(tokenizers)
+    path = shipped(documents.sparkSession, tokenizers)
 
     def size(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = tokenizer(path)
@@ -168,3 +171,11 @@ def container_fill(packed: DataFrame, pack_spec: DataFrame) -> DataFrame:
     totals = packed.groupBy("spec_id").agg(F.count_distinct("container_id").alias("n_containers"), F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("used_tokens"))
     capacity = pack_spec.where("capacity_tokens > 0").groupBy("spec_id").agg(F.min("capacity_tokens").alias("c"))
     return totals.join(capacity, "spec_id").select("spec_id", "n_containers", "n_pieces", "used_tokens", (1 - F.col("used_tokens") / (F.col("n_containers") * F.col("c"))).alias("unused_share"))
+
+
+def packing_faults(packed: DataFrame, pack_spec: DataFrame) -> DataFrame:
+    """(spec_id, n_documents, n_overfull, n_divided): documents packed, containers beyond their capacity, and documents divided though they fit."""
+    capacity = F.broadcast(pack_spec.where("capacity_tokens > 0").groupBy("spec_id").agg(F.min("capacity_tokens").alias("c")).limit(MAX_SPECS))  # their number is checked where they are packed
+    over = packed.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("n")).join(capacity, "spec_id").groupBy("spec_id").agg(F.count_if(F.col("n") > F.col("c")).alias("n_overfull"))
+    docs = packed.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k")).join(capacity, "spec_id")
+    return docs.groupBy("spec_id").agg(F.count("*").alias("n_documents"), F.count_if((F.col("k") > 1) & (F.col("n") <= F.col("c"))).alias("n_divided")).join(over, "spec_id").select("spec_id", "n_documents", "n_overfull", "n_divided")

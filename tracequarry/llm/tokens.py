@@ -20,13 +20,15 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyspark.sql.types as T
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"
@@ -117,14 +119,21 @@ class Tokenizer:
 
 @functools.lru_cache(maxsize=4)
 def tokenizer(path: str, leaf: int = LEAF) -> Tokenizer:
-    """One per Python worker."""
-    return Tokenizer(path, leaf)
+    """One per Python worker, of a file that was shipped."""
+    return Tokenizer(SparkFiles.get(path), leaf)
 
 
 def vocabulary(tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> str:
     return f"{tokenizers}/{name}.tiktoken"
 
 
+def shipped(spark: SparkSession, tokenizers: str = TOKENIZERS) -> str:
+    """Gives the executors the driver's vocabulary file (half a MB), as they may not have that folder; returns its name."""
+    path = vocabulary(tokenizers)
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def ids_column(text: str, path: str, leaf: int = LEAF) -> Column:
     """The ids of a text column, as a vectorised UDF."""
 
@@ -139,12 +148,12 @@ def ids_column(text: str, path: str, leaf: int = LEAF) -> Column:
 
 def document_ids(documents: DataFrame, tokenizers: str = TOKENIZERS, leaf: int = LEAF) -> DataFrame:
     """p8_ids: (doc_id, ids) of every document."""
-    return documents.select("doc_id", ids_column("text", vocabulary(tokenizers), leaf).alias("ids"))
+    return documents.select("doc_id", ids_column("text", shipped(documents.sparkSession, tokenizers), leaf).alias("ids"))
 
 
 def decoded_documents(documents: DataFrame, tokenizers: str = TOKENIZERS, leaf: int = LEAF) -> DataFrame:
     """(doc_id, n_tokens, restored): whether decoding the ids gives the text back (null counts as empty)."""
-    path = vocabulary(tokenizers)
+    path = shipped(documents.sparkSession, tokenizers)
 
     @F.pandas_udf(T.StructType([T.StructField("n_tokens", T.IntegerType()), T.StructField("restored", T.BooleanType())]))
     def check(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
