@@ -30,7 +30,9 @@ LOOK_ALIKES = {
     "Cyrillic": ("аеорсухіјѕһԁԛԝѵӏАВЕКМНОРСТХУІЈЅԌԚԜӀёЁїЇ", "aeopcyxijshdqwvlABEKMHOPCTXYIJSGQWIëËïÏ"),
     "Greek": ("ονιαρϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "oviapcjABEZHIKMNOPTYXCJ"),
     "Armenian": ("օսոցհՕՍ", "ounghOU"),
-    "Latin": ("ɡıɑſꓲ", "giasI"),
+    "Latin": ("ɡıɑſȷɩ", "giasji"),
+    "Cherokee": ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᏔᏃ", "ABCDEGHJKLMPRSTVWZ"),
+    "Lisu": ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),
 }
 #: Hyphens drawn like the plain one (fixed values).
 HYPHENS = "‐‑﹣－"
