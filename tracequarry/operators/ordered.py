@@ -131,6 +131,19 @@ def seeded_rank(df: DataFrame, keys: Sequence[str], identity: str, seed: int, na
     return df.withColumn(name, F.row_number().over(order))
 
 
+def ranked_by_hash(df: DataFrame, keys: Sequence[str], digest: str, identity: str, name: str) -> DataFrame:
+    """Adds the rank (from 0) of each row in order of a hexadecimal digest, ties by identity, in parts by the digest's first three digits.
+
+    Digests spread evenly, so a part holds 1 / 4096 of a key's rows; ranks are those within a part plus the sizes of the parts before.
+    """
+    cut = df.withColumn("_part", F.conv(F.left(digest, F.lit(3)), 16, 10).cast("int"))
+    sizes = cut.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(digest, identity))
+    return cut.withColumn("_r", inside).join(carried, [*keys, "_part"]).withColumn(name, F.col("_r") - 1 + F.col("_before")).select(*df.columns, name)
+
+
 def seeded_top(df: DataFrame, keys: Sequence[str], identity: str, seed: int, n: int, salts: int = 64) -> DataFrame:
     """n rows of each key in seeded order, in two steps: the n first of each salted part, then of those."""
     hashed = df.withColumn("_h", F.md5(F.concat_ws(":", F.col(identity).cast("string"), F.lit(str(seed))))).withColumn("_salt", F.pmod(F.xxhash64(identity), F.lit(salts)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tracequarry.functions import labels, metrics, text
 from tracequarry.functions.rules import literal
 from tracequarry.operators import ordered, statistics
-from tracequarry.session import ensure_checkpoint_dir, table
+from tracequarry.session import cut_lineage, ensure_checkpoint_dir, table
 from tracequarry.sources import lines
 from tracequarry.streaming import queue
 
@@ -103,7 +103,11 @@ def episode_islands(s, d):
 @query(f"""WITH {_EPISODES}, t AS (SELECT trajectory_id, episode_index, lag(family) OVER w AS from_family, family AS to_family FROM ep WINDOW w AS (PARTITION BY trajectory_id ORDER BY episode_index))
 SELECT trajectory_id, episode_index AS to_episode, from_family, to_family, CASE WHEN from_family <> to_family AND from_family <> 'other_unknown' AND to_family <> 'other_unknown' THEN 'core' ELSE 'local' END AS transition_type FROM t WHERE from_family IS NOT NULL""")
 def strategy_transitions_core_local(s, d):
-    ep = _episode_rows(s, d).select("trajectory_id", "episode_index", "family")
+    return _core_local(_episode_rows(s, d))
+
+
+def _core_local(episodes):
+    ep = episodes.select("trajectory_id", "episode_index", "family")
     lag = ordered.blocked_lag(ep, ["trajectory_id"], "episode_index", F.struct("family"), "b").where("b is not null")
     core = (F.col("b.family") != F.col("family")) & (F.col("b.family") != "other_unknown") & (F.col("family") != "other_unknown")
     return lag.select("trajectory_id", F.col("episode_index").alias("to_episode"), F.col("b.family").alias("from_family"), F.col("family").alias("to_family"), F.when(core, "core").otherwise("local").alias("transition_type"))
@@ -132,9 +136,10 @@ x AS (SELECT trajectory_id, count_if(b IS NOT NULL AND b <> family AND b <> 'oth
   min(episode_index) FILTER (b <> family AND b <> 'other_unknown' AND family <> 'other_unknown') AS first_core, max(episode_index) AS last FROM t GROUP BY 1)
 SELECT trajectory_id, core AS core_transitions, local AS local_refinements, first_core / greatest(1, last) AS first_change_progress, local / greatest(1, local + core) AS local_development_ratio FROM x""")
 def first_change_progress(s, d):
-    t = strategy_transitions_core_local(s, d)
+    ep = cut_lineage(_episode_rows(s, d).select("trajectory_id", "episode_index", "family"))  # read twice
+    t = _core_local(ep)
     core = F.col("transition_type") == "core"
-    last = _episode_rows(s, d).groupBy("trajectory_id").agg(F.max("episode_index").alias("last"))
+    last = ep.groupBy("trajectory_id").agg(F.max("episode_index").alias("last"))
     counts = t.groupBy("trajectory_id").agg(F.count_if(core).alias("core_transitions"), F.count_if(~core).alias("local_refinements"), F.min(F.when(core, F.col("to_episode"))).alias("first_core"))
     out = last.join(counts, "trajectory_id", "left").fillna(0, ["core_transitions", "local_refinements"])
     ratio = F.col("local_refinements") / F.greatest(F.lit(1), F.col("local_refinements") + F.col("core_transitions"))
@@ -682,14 +687,19 @@ def train_val_split(s, d):
     return docs.join(validation, "doc_id", "left").select("doc_id", F.coalesce("split", F.lit("train")).alias("split"))
 
 
-@query("""WITH q AS (SELECT item_id, benchmark FROM benchmark_item WHERE split = 'validation'), p AS (SELECT item_id, benchmark FROM benchmark_item WHERE split = 'test')
-SELECT item_id, companion FROM (SELECT q.item_id, p.item_id AS companion, row_number() OVER (PARTITION BY q.item_id ORDER BY md5(q.item_id::VARCHAR || ':' || p.item_id::VARCHAR || ':3'), p.item_id) AS r FROM q JOIN p ON q.benchmark = p.benchmark) WHERE r <= 4""")
+@query("""WITH p AS (SELECT item_id AS companion, benchmark, row_number() OVER (PARTITION BY benchmark ORDER BY md5(item_id::VARCHAR || ':3'), item_id) - 1 AS k, count(*) OVER (PARTITION BY benchmark) AS n FROM benchmark_item WHERE split = 'test'),
+q AS (SELECT item_id, benchmark, CAST('0x' || left(md5(item_id::VARCHAR || ':7'), 8) AS BIGINT) AS h FROM benchmark_item WHERE split = 'validation')
+SELECT q.item_id, p.companion FROM q JOIN p ON q.benchmark = p.benchmark WHERE (p.k - q.h % p.n + p.n) % p.n < 4""")
 def fewshot_companions(s, d):
+    """Four companions of each item: the pool in a seeded order, from a seeded place on, in a ring; items meet no more of the pool than these."""
     items = table(s, d, "benchmark_item")
-    q = items.where("split = 'validation'").select("item_id", "benchmark")
-    pool = items.where("split = 'test'").select(F.col("item_id").alias("companion"), "benchmark")  # the held-out set, of fixed size
-    order = Window.partitionBy("item_id").orderBy(F.md5(F.concat_ws(":", "item_id", "companion", F.lit("3"))), "companion")
-    return q.join(pool, "benchmark").withColumn("r", F.row_number().over(order)).where("r <= 4").select("item_id", "companion")
+    pool = items.where("split = 'test'").select(F.col("item_id").alias("companion"), "benchmark", F.md5(F.concat_ws(":", "item_id", F.lit("3"))).alias("h"))
+    sizes = pool.groupBy("benchmark").agg(F.count("*").alias("n"))
+    ranked = ordered.ranked_by_hash(pool, ["benchmark"], "h", "companion", "k").select("benchmark", "companion", "k")
+    start = F.conv(F.left(F.md5(F.concat_ws(":", "item_id", F.lit("7"))), F.lit(8)), 16, 10).cast("bigint") % F.col("n")
+    q = items.where("split = 'validation'").select("item_id", "benchmark").join(sizes, "benchmark").withColumn("s", start)
+    places = F.transform(F.sequence(F.lit(0), F.least(F.lit(3).cast("bigint"), F.col("n") - 1).cast("int")), lambda j: (F.col("s") + j) % F.col("n"))
+    return q.select("item_id", "benchmark", F.explode(places).alias("k")).join(ranked, ["benchmark", "k"]).select("item_id", "companion")
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 4000 THEN left(text, 4000) || chr(10) || '...[truncated]' ELSE text END AS text, length(text) > 4000 AS truncated FROM documents WHERE text IS NOT NULL")
