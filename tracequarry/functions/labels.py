@@ -36,6 +36,7 @@ def launched_scripts_sql(command: str) -> str:
     return f"list_transform(regexp_extract_all(lower({command}), {literal(LAUNCHED)}, 1), lambda s: regexp_replace(s, '^.*/', ''))"
 
 
+#: Which launches train: a training script that is no utility, or code that updates weights; and no mere look at a script (fixed values).
 _TRAINS = (
     lambda low: F.exists(launched_scripts(low), lambda s: s.rlike(TRAINING_SCRIPT) & ~s.rlike(UTILITY_SCRIPT)) | low.rlike(UPDATES),
     f"(len(list_filter({launched_scripts_sql('{x}')}, lambda s: regexp_matches(s, {literal(TRAINING_SCRIPT)}) AND NOT regexp_matches(s, {literal(UTILITY_SCRIPT)}))) > 0 OR regexp_matches({{x}}, {literal(UPDATES)}))",

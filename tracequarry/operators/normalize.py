@@ -147,19 +147,26 @@ def opencode_events(rec: Column) -> Column:
     return F.array_compact(events)
 
 
+#: Lines of a plain trace by their kind, in order: a pattern of the line, and the event that it is (fixed values).
+PLAIN_LINES = [
+    ("assistant", r"(?i)assistant\s*(?:[-\x{2014}:]|turn)", "assistant_text"),
+    ("tool_call", r"(?i)^tool(?: call|:)", "tool_call"),
+    ("tool_result", r"(?i)^(?:tool result|output:)", "tool_result"),
+    ("command", r"(?:^|\s)(?:python|bash|sh)\s+[^ ]+", "command_execution"),
+    ("text", "", "assistant_text"),
+]
+
+
 def plain_event(line: Column) -> Column:
-    """One event a line of a plain trace, by five rules in order."""
-    stripped = F.regexp_replace(line, r"^\s+|\s+$", "")
-    low = F.lower(stripped)
-    make = lambda raw, **x: _event(raw_event_type=raw, parser_confidence="low", **x)
-    said = lambda raw: make(raw, event_type="assistant_text", role="assistant", text=stripped)
-    return (
-        F.when(stripped.rlike(r"(?i)assistant\s*(?:[-\x{2014}:]|turn)"), said("assistant"))
-        .when(low.startswith("tool call") | low.startswith("tool:"), make("tool_call", event_type="tool_call", role="assistant", tool_name=F.trim(F.regexp_replace(stripped, r"^[^:]*:", ""))))
-        .when(low.startswith("tool result") | low.startswith("output:"), make("tool_result", event_type="tool_result", role="user", command_output=stripped, text=stripped))
-        .when(stripped.rlike(r"(?:^|\s)(?:python|bash|sh)\s+[^ ]+"), make("command", event_type="command_execution", role="assistant", command=stripped))
-        .otherwise(said("text"))
-    )
+    """One event a line of a plain trace, by the first kind that fits."""
+    said = F.regexp_replace(line, r"^\s+|\s+$", "")
+    values = {
+        "assistant_text": {"role": "assistant", "text": said},
+        "tool_call": {"role": "assistant", "tool_name": F.trim(F.regexp_replace(said, r"^[^:]*:", ""))},
+        "tool_result": {"role": "user", "command_output": said, "text": said},
+        "command_execution": {"role": "assistant", "command": said},
+    }
+    return F.coalesce(*[F.when(said.rlike(pattern), _event(raw_event_type=raw, parser_confidence="low", event_type=kind, **values[kind])) for raw, pattern, kind in PLAIN_LINES])
 
 
 def recorder(records: DataFrame, key: str) -> DataFrame:
