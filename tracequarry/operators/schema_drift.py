@@ -43,6 +43,8 @@ NESTED = "task_args"
 LEAST_SCORE = 0.75
 #: Names that stand side by side in so many times more files than they are paired in have no support.
 TOGETHER_TIMES = 2
+#: A text that is a number; others are not cast, as a failing cast is dear.
+NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 #: Looks of scalars are bits of their own; schemas of arrays and objects share the others by hash.
 LOOKS = ["number", "time", "sentence", "path", "word", "plain"]
 _HASHED = 63 - len(LOOKS)
@@ -64,7 +66,7 @@ def _kind(schema: Column) -> Column:
     return (
         F.when(schema.isNull() | (schema == "VOID"), None).when(schema == "STRING", "string").when(schema == "BIGINT", "integer").when(schema == "BOOLEAN", "boolean")
         .when(schema.startswith("ARRAY"), "array").when(schema.startswith("OBJECT"), "object")
-        .when(schema.rlike(r"^DECIMAL\(\d+,0\)"), "integer").otherwise("decimal")
+        .when(schema.startswith("DECIMAL") & schema.endswith(",0)"), "integer").otherwise("decimal")
     )
 
 
@@ -91,7 +93,7 @@ def record_fields(records: DataFrame) -> DataFrame:
 def _with_looks(fields: DataFrame) -> DataFrame:
     """Adds number, a value's number if it has one, and looks, the bit of the class of its content."""
     fields = fields.withColumn("text", F.when(F.col("kind") == "string", F.try_variant_get("value", "$", "string")))
-    number = F.when(F.col("kind").isin("integer", "decimal"), F.try_variant_get("value", "$", "double")).otherwise(F.col("text").try_cast("double"))
+    number = F.when(F.col("kind").isin("integer", "decimal"), F.try_variant_get("value", "$", "double")).when(F.col("text").rlike(NUMBER), F.col("text").try_cast("double"))
     fields = fields.withColumn("number", number)
     shape = F.regexp_replace("schema", r"BIGINT|DOUBLE|DECIMAL\(\d+,\d+\)", "NUMBER")
     look = (
