@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracequarry.functions.rules import literal
 from tracequarry.operators import log_lines, schema_drift
 from tracequarry.plans import objectives, readers, reference, scalars  # the others add theirs to reference's table
 from tracequarry.session import table
@@ -67,9 +68,23 @@ step AS (SELECT n.log_stream, n.file_seq, n.field, 'retyped' AS change_kind, NUL
   UNION ALL SELECT c.log_stream, c.file_seq, c.field, 'added', NULL, NULL, h.k FROM come c JOIN held h ON h.log_stream = c.log_stream AND h.file_seq = c.file_seq AND h.field = c.field ANTI JOIN ren r ON r.log_stream = c.log_stream AND r.file_seq = c.file_seq AND r.new = c.field)"""
 
 
+_LEVEL, _NAME = "(?i:" + "|".join(sorted(log_lines.NAMED, key=len, reverse=True)) + ")", r"[A-Za-z_][\w.\-/]*"
+#: The layouts of the test tables' log lines as patterns of a whole line's beginning: plainer than the operator, for the check only.
+_LAYOUTS = [
+    rf"{_LEVEL}:{_NAME}:", rf"{_LEVEL} \d\d-\d\d \d\d:\d\d:\d\d \[{_NAME}:\d+\]", rf"\({_NAME} pid=\d+\) {_LEVEL} [\d/]+ [\d:]+ >>", rf"\d{{10}}\.\d+ \| {_LEVEL} +\| {_NAME} \|",
+    rf"\d{{4}}-\d\d-\d\d \d\d:\d\d:\d\d,\d+ - {_NAME} - {_LEVEL} - ", rf"\[\d[^\]]*\] \[{_LEVEL} *\] \[{_NAME}\]", rf"[A-Z][a-z]{{2}} [ \d]\d \d\d:\d\d:\d\d \S+ {_NAME}\[\d+\]: {_LEVEL}: ",
+    rf"[TVDIWEFC]\d{{4}} \d\d:\d\d:\d\d\.\d+ +\d+ {_NAME}:\d+\] ", rf"\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?Z? {_LEVEL} +{_NAME}: ", rf"time=\S+ level={_LEVEL} component=", rf'\{{"ts": "[^"]*", "level": "{_LEVEL}"',
+]
+_ENTRIES = f"""WITH v AS (SELECT DISTINCT trajectory_id, event_index, 'command_output' AS field, command_output AS t FROM agent_event UNION SELECT trajectory_id, event_index, 'text', text FROM agent_event),
+l AS (SELECT trajectory_id, event_index, field, unnest(string_split(t, chr(10))) AS line, unnest(generate_series(1, len(string_split(t, chr(10))))) AS n FROM v WHERE t <> ''),
+k AS (SELECT *, regexp_matches(line, {literal('^(?:' + '|'.join(_LAYOUTS) + ')')}) AS starts FROM l), e AS (SELECT *, max(n) FILTER (regexp_matches(line, '\\S')) OVER (PARTITION BY trajectory_id, event_index, field) AS last FROM k)
+SELECT trajectory_id, event_index, field, CAST(n AS INTEGER) AS first_line, CAST(coalesce(lead(n) OVER (PARTITION BY trajectory_id, event_index, field ORDER BY n) - 1, last) AS INTEGER) AS last_line FROM e WHERE starts"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         **reference.oracle_sql(),
+        "p7_found": _ENTRIES,
         "p4_found": f"WITH {_RENAMES} SELECT log_stream, file_seq, field, change_kind FROM step",
         "p4_changes": f"WITH {_RENAMES} SELECT * FROM step",
         "p4_steps": f"""WITH {_PROFILES}, now AS (SELECT s.log_stream, s.file_seq, h.field, h.k FROM seq s JOIN held h USING (log_stream, file_seq) WHERE prev IS NOT NULL),
