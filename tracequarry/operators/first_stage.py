@@ -13,6 +13,7 @@ from tracequarry.functions import labels
 from tracequarry.functions.text import capped
 from tracequarry.operators import ordered
 from tracequarry.operators.normalize import V1_CAP, get
+from tracequarry.session import cut_lineage
 from tracequarry.sources import lines
 
 #: Record types of the two recorders, in the order they are tried, and the confidence of each format (fixed values).
@@ -98,6 +99,28 @@ def unknown_events(rec: Column) -> Column:
     return _array(F.when(text.isNotNull(), _event(event_type="assistant_text", role="unknown", text=text)))
 
 
+def _claude_tells(rec: Column) -> Column:
+    """Whether claude_events gives one, without making it."""
+    kind = get(rec, "$.type")
+    content = F.when(_is_object(get(rec, "$.message", "variant")), get(rec, "$.message.content", "variant")).otherwise(get(rec, "$.content", "variant"))
+    parts = F.coalesce(get(content, "$", "array<variant>"), F.array().cast("array<variant>"))
+    tells = F.exists(parts, lambda p: get(p, "$.type").isin("tool_use", "tool_call", "tool_result", "tool_response") | ((get(p, "$.type") == "text") & (get(p, "$.text") != "")))
+    is_list = F.coalesce(F.schema_of_variant(content).startswith("ARRAY"), F.lit(False))
+    return (kind == "result") | (kind.isin("assistant", "user", "system") & F.when(is_list, F.coalesce(tells, F.lit(False))).otherwise(F.coalesce(get(content, "$") != "", F.lit(False))))
+
+
+def _codex_tells(rec: Column) -> Column:
+    """Whether codex_events gives one, without making it."""
+    kind = get(rec, "$.type")
+    item = F.when(_is_object(get(rec, "$.item", "variant")), get(rec, "$.item", "variant")).otherwise(rec)
+    some = lambda v, path: F.coalesce(get(v, path) != "", F.lit(False))
+    return F.coalesce(kind == "error", F.lit(False)) | F.coalesce(get(item, "$.type").isin("reasoning", "agent_message", "command_execution"), F.lit(False)) | (kind.isin(TYPES["codex_jsonl"]) & (some(item, "$.text") | some(rec, "$.message")))
+
+
+def _unknown_tells(rec: Column) -> Column:
+    return F.coalesce(*[F.nullif(get(rec, f"$.{k}"), F.lit("")) for k in ("text", "message", "content")]).isNotNull()
+
+
 def source_formats(records: DataFrame, traces: DataFrame, key: str) -> DataFrame:
     """(key, source_format, parser_confidence) of each run: records have (key, rec), traces (key, line).
 
@@ -107,8 +130,8 @@ def source_formats(records: DataFrame, traces: DataFrame, key: str) -> DataFrame
     kind = get(rec, "$.type")
     has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     seen = records.where("rec is not null").groupBy(key).agg(
-        has(kind.isin(TYPES["claude_jsonl"])).alias("a"), has(F.size(claude_events(rec)) > 0).alias("ea"),
-        has(kind.isin(TYPES["codex_jsonl"])).alias("b"), has(F.size(codex_events(rec)) > 0).alias("eb"), has(F.size(unknown_events(rec)) > 0).alias("ec"),
+        has(kind.isin(TYPES["claude_jsonl"])).alias("a"), has(_claude_tells(rec)).alias("ea"),
+        has(kind.isin(TYPES["codex_jsonl"])).alias("b"), has(_codex_tells(rec)).alias("eb"), has(_unknown_tells(rec)).alias("ec"),
     )
     plain = traces.groupBy(key).agg(has(F.col("line").rlike(lines.TURN) | F.col("line").rlike(lines.TOOL)).alias("ed"))
     both = seen.join(plain, key, "full")
@@ -134,7 +157,8 @@ def events(numbered: DataFrame, traces: DataFrame, key: str = "trajectory_id") -
     blocks = lines.plain_blocks(traces.join(formats.where("source_format = 'plain_trace'").select(key), key, "left_semi"), key)
     block = _event(event_type=F.when(F.col("kind") == "tool_call", "tool_call").otherwise("assistant_text"), role="assistant", tool_name=F.col("tool_name"), text=F.col("text"))
     plain = blocks.select(key, F.lit("plain_trace").alias("source_format"), F.lit("low").alias("parser_confidence"), F.col("line_start").alias("line_no"), "line_end", F.array(block).alias("es"))
-    every = ordered.running_sum(own.unionByName(plain), [key], "line_no", {"upto": F.size("es")})
+    # written once: numbering reads its rows twice, and records are dear to parse
+    every = ordered.running_sum(cut_lineage(own.unionByName(plain)), [key], "line_no", {"upto": F.size("es")})
     each = every.select(key, "source_format", "parser_confidence", "line_no", "line_end", (F.col("upto") - F.size("es")).alias("before"), F.posexplode("es").alias("k", "e"))
     flat = each.select(key, (F.col("before") + F.col("k")).cast("int").alias("event_index"), "source_format", "e.*", F.col("line_no").alias("source_line_start"), F.col("line_end").alias("source_line_end"), "parser_confidence")
     caps = ["text", "command", "command_output"]

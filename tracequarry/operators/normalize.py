@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions.text import capped
 from tracequarry.operators import ordered
+from tracequarry.session import cut_lineage
 
 #: Record types of each recorder, in the order of their precedence (fixed values).
 RECORDERS = {
@@ -193,7 +194,8 @@ def plain_events(numbered: DataFrame, key: str = "trajectory_id") -> DataFrame:
 
 
 def _number(made: DataFrame, key: str) -> DataFrame:
-    sized = ordered.running_sum(made.where(F.size("es") > 0), [key], "line_no", {"upto": F.size("es")})
+    # written once: numbering reads its rows twice, and records are dear to parse
+    sized = ordered.running_sum(cut_lineage(made.where(F.size("es") > 0)), [key], "line_no", {"upto": F.size("es")})
     each = sized.select(key, "source_format", "line_no", "upto", F.size("es").alias("n"), F.posexplode("es").alias("k", "e"))
     return each.select(key, (F.col("upto") - F.col("n") + F.col("k")).cast("int").alias("event_index"), "source_format", "e.*", F.col("line_no").alias("source_line_start"), F.col("line_no").alias("source_line_end"))
 
