@@ -39,6 +39,8 @@ from tracequarry.session import cut_lineage
 FIELDS = ("command_output", "text")
 #: Training values per source and field; hashed features.
 SAMPLE = 2500
+#: Of many sources each has fewer, so that about so many values are sampled in all.
+MOST_SAMPLED = 100_000
 SLOTS = 1 << 18
 #: Log-odds (at even odds in training) from which a value counts as cut: cut values are rare.
 THRESHOLD = 2.25
@@ -327,9 +329,9 @@ def train(events: DataFrame, sample: int = SAMPLE) -> Model | None:
         return None
     share = F.lit(1.0)
     for (source, field), n in sorted(total.items()):
-        share = F.when((F.col("source") == source) & (F.col("field") == field), F.lit(min(1.0, sample / n))).otherwise(share)
-    # written once: bounded, and read for the words and for the examples
-    picked = cut_lineage(keyed.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).select("value", "source", "field", "h").distinct().orderBy("h").limit(2 * sample * len(total)))
+        share = F.when((F.col("source") == source) & (F.col("field") == field), F.lit(min(1.0, min(sample, MOST_SAMPLED / len(total)) / n))).otherwise(share)
+    # written once: bounded, and read for the words and for the examples; it lies in as many tasks as there are
+    picked = cut_lineage(keyed.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).select("value", "source", "field", "h").distinct())
     model = Model(np.zeros(SLOTS), limits, _known(picked))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
