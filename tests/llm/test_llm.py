@@ -107,6 +107,27 @@ def test_reparameterised_questions_are_recalled(spark):
     assert leakage.reparameterised_items(copies, all_items).count() == 0
 
 
+def test_types_do_not_depend_on_how_many_words_the_items_have(spark):
+    """A word's type stays what it is beside 210,000 more openers of sentences."""
+    lower = (6, "first in line we find every one.")
+    own = items(spark).union(spark.createDataFrame([lower], "item_id long, text string"))
+    n = 210_000
+    word = F.concat(F.lit("pad"), F.col("id"))
+    pads = spark.range(n).select((F.col("id") / 10).cast("long").alias("p"), F.concat(F.initcap(word), F.lit(" "), word, F.lit(". ")).alias("t"))
+    many = own.union(pads.groupBy((F.col("p") + 100).alias("item_id")).agg(F.concat_ws("", F.collect_list("t")).alias("text")))
+    other = ITEM.replace("503", "77").replace("Dorsel", "Anke").replace("Every", "every").replace("Find", "find")
+    openers = ITEM.replace("Every", "Each").replace("Find", "Write")  # other words, no other values
+    df = events(spark, [{"trajectory_id": "t", "event_index": 0, "file_content": other}, {"trajectory_id": "t", "event_index": 1, "file_content": openers}, {"trajectory_id": "t", "event_index": 2, "command": ITEM}])
+    few, all_ = ({tuple(r) for r in leakage.reparameterised_items(df, i).collect()} for i in (own, many))
+    assert few == all_ and {r[1] for r in few} == {0}
+    assert {tuple(r) for r in leakage.leaked_items(df, many).collect()} == {tuple(r) for r in leakage.leaked_items(df, own).collect()} >= {("t", 2, 1)}
+    types = leakage.lexicon(many)
+    assert all(f"pad{i}" in types.openers for i in range(0, n, 1000)) and "find" in types.openers and "mafenmawick" in types.names
+    assert not any(w in types.openers or w in types.names for w in ("baskets", "pad", "pad-1", "")) and "mafenmawick" not in types.openers
+    none = leakage.lexicon(own.where("item_id > 99"))
+    assert "find" not in none.openers and "find" not in none.names
+
+
 def test_escapes_before_hexadecimal_letters():
     assert leakage.words(r"he\u0027d \u201cBut, \u2014and \u003cbr \\u00e9cole") == "he d but and br cole".split()
     assert leakage.words(r"\u{41}b \u{1F600}deed \U0001F600face \U00000041b \u00415 \x41b \101b") == "ab deed face ab a5 ab ab".split()

@@ -9,8 +9,9 @@ item are chained, and over the stretch the slots' values must map one to one.
 
 A word's type depends on the word alone: numbers by their digits, units by a list, names
 by their capital, but for words that open sentences of the items and are, in all items
-together, also written in lower case. Hashes are of the words themselves, so no vocabulary is
-needed and the result does not depend on which items are looked at together.
+together, also written in lower case. Hashes are of the words themselves. What the items
+together tell of words goes to workers as files of hashes, however many words there are, so
+types do not depend on the items' number.
 
 The corpus is read once, however many items there are: bitmaps of bounded size
 (``MOST_BITS``) of the items' hashes pass hardly any other window on to the join, which
@@ -24,14 +25,18 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
 import re
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.session import cut_lineage
@@ -40,9 +45,6 @@ WINDOW = 14
 FIELDS = ("file_content", "command")
 #: Bits for each window of the items, and the most bits of a bitmap (2 ** 29: 64 MB); beyond, more windows pass on to the join.
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 29
-#: Openers of sentences that are also written in lower case, and names; with more of them than this none is sent
-#: (p1_found stays exact; openers of sentences then count as names).
-MAX_LEXICON = 200_000
 #: Words that a template window needs beside its slots, so that bare lists of numbers and names are no question.
 LEAST_WORDS = 5
 #: Share of an item's tokens that its stretches in one value must cover: many items share single sentences.
@@ -156,10 +158,33 @@ class Codes(dict):
             self.clear()
 
 
+@functools.lru_cache(4)
+def _shipped(name: str) -> np.ndarray:
+    """The hashes of a shipped file, mapped into memory: a process reads only the pages it asks for."""
+    path = SparkFiles.get(name)
+    return np.asarray(np.memmap(path, np.int64, "r")) if os.path.getsize(path) else np.zeros(0, np.int64)
+
+
+class Words:
+    """A set of any number of words: their sorted hashes in a file that every executor has."""
+
+    def __init__(self, name: str):
+        self.name = name
+
+    @staticmethod
+    def hash(word: str) -> int:
+        return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8, salt=b"word").digest(), "little", signed=True)
+
+    def __contains__(self, word: str) -> bool:
+        hashes, h = _shipped(self.name), np.int64(self.hash(word))
+        at = hashes.searchsorted(h)
+        return bool(at < len(hashes) and hashes[at] == h)
+
+
 class Lexicon:
     """What the items together tell of words: names (only ever capitalised) and openers of sentences that are also words."""
 
-    def __init__(self, names: frozenset[str] = frozenset(), openers: frozenset[str] = frozenset()):
+    def __init__(self, names: Container[str] = frozenset(), openers: Container[str] = frozenset()):
         self.names, self.openers = names, openers
 
     def caseless(self, word: str) -> int:
@@ -176,8 +201,15 @@ def kept_items(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
 
 
+def _ship(spark: SparkSession, path: str, digest: str) -> str:
+    """Gives a file to the executors under a name that tells its content, so that equal ones are kept once a session."""
+    os.replace(path, named := os.path.join(os.path.dirname(path), f"lexicon-{digest}"))
+    spark.sparkContext.addFile(named)
+    return os.path.basename(named)
+
+
 def lexicon(items: DataFrame) -> Lexicon:
-    """Of all items, whatever their number; what is collected is checked."""
+    """Of all items, whatever their number: the driver writes the words' hashes to files as they come, a partition at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,13 +219,24 @@ def lexicon(items: DataFrame) -> Lexicon:
                     if word[0].isalpha() and len(word) > 1:
                         flags = seen.setdefault(word.lower(), [False, False, False])
                         flags[0 if word[0].islower() else 1 if opens else 2] = True
-            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *[pa.array([f[i] for f in seen.values()], pa.bool_()) for i in range(3)]], ["word", "low", "first", "inner"])
+            yield pa.RecordBatch.from_arrays([pa.array([Words.hash(w) for w in seen], pa.int64()), *[pa.array([f[i] for f in seen.values()], pa.bool_()) for i in range(3)]], ["word", "low", "first", "inner"])
 
-    flags = kept_items(items).mapInArrow(count, "word string, low boolean, first boolean, inner boolean").groupBy("word").agg(*[F.bool_or(c).alias(c) for c in ("low", "first", "inner")])
-    telling = flags.where("first and low or inner and not low").limit(2 * MAX_LEXICON + 1).collect()
-    names = frozenset(r.word for r in telling if not r.low)
-    openers = frozenset(r.word for r in telling if r.low)
-    return Lexicon(names if len(names) <= MAX_LEXICON else frozenset(), openers if len(openers) <= MAX_LEXICON else frozenset())
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, low = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array([word[kept].tobytes()], pa.binary()) for kept in (~low, low)], ["names", "openers"])
+
+    flags = kept_items(items).mapInArrow(count, "word bigint, low boolean, first boolean, inner boolean").groupBy("word").agg(*[F.bool_or(c).alias(c) for c in ("low", "first", "inner")])
+    telling = flags.where("first and low or inner and not low").select("word", "low").orderBy("word").mapInArrow(pack, "names binary, openers binary")
+    folder = os.path.join(SparkFiles.getRootDirectory(), "lexicons")  # in Spark's own folder of the driver
+    os.makedirs(folder, exist_ok=True)
+    digests = [hashlib.blake2b(digest_size=16) for _ in telling.columns]
+    with tempfile.NamedTemporaryFile(dir=folder, delete=False) as names, tempfile.NamedTemporaryFile(dir=folder, delete=False) as openers:
+        for row in telling.toLocalIterator():
+            for file, digest, part in zip((names, openers), digests, row):
+                file.write(part)
+                digest.update(part)
+    return Lexicon(*[Words(_ship(items.sparkSession, file.name, digest.hexdigest())) for file, digest in zip((names, openers), digests)])
 
 
 class Bits:
